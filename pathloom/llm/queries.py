@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, quality
+from . import chat, mixing, packing, quality, simhash
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
+    "op1_packing": packing.op1_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
 }
 
 ORACLE_SQL = {
