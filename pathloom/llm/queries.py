@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from . import chat, mixing, packing, quality, simhash
+from . import chat, html, mixing, packing, quality, secrets, simhash, topk
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
     "op1_packing": packing.op1_packing,
     "op5_mixing": mixing.op5_mixing,
+    "op6_secret_scans": secrets.op6_secret_scans,
+    "op7_html_extraction": html.op7_html_extraction,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
+    "op9_exact_top_k": topk.op9_exact_top_k,
 }
 
 ORACLE_SQL = {
     "op2_chat_formatting": chat.SQL,
     "op3_quality_rules": quality.SQL,
     "op5_mixing": mixing.SQL,
+    "op6_secret_scans": secrets.SQL,
+    "op9_exact_top_k": topk.SQL,
 }
