@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, packing, quality, secrets, simhash, topk
+from . import chat, html, mixing, packing, quality, secrets, simhash, substring, topk
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_html_extraction": html.op7_html_extraction,
     "op8_simhash_near_dedup": simhash.op8_simhash_near_dedup,
     "op9_exact_top_k": topk.op9_exact_top_k,
+    "op10_substring_dedup": substring.op10_substring_dedup,
 }
 
 ORACLE_SQL = {
