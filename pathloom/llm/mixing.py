@@ -66,7 +66,8 @@ def _thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
     inside = docs
     for digits in range(DIGITS, ALL_DIGITS + 1, DIGITS):
         cells = inside.groupBy("source", F.substring("hash", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
-        cells = cells.join(edge, cells["source"].eqNullSafe(edge["source"]) & cells["bucket"].startswith(edge["cell"])).select(cells["source"], "bucket", "words", "n", "left")
+        at = edge.select(F.col("source").alias("of"), F.col("cell").alias("within"), F.col("left").alias("left"))
+        cells = cells.join(at, F.col("source").eqNullSafe(F.col("of")) & F.col("bucket").startswith(F.col("within"))).drop("of", "within")
         upto = W.partitionBy("source").orderBy("bucket")
         cells = cells.withColumn("cum", F.sum("words").over(upto))
         # the first bucket that reaches over the budget; if none does, all are taken
@@ -82,7 +83,7 @@ def _thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
         if digits < ALL_DIGITS:
             if edge.filter("n > 1").isEmpty():
                 break
-            inside = docs.join(edge.select(F.col("source").alias("s"), "cell"), docs["source"].eqNullSafe(F.col("s")) & docs["hash"].startswith(F.col("cell")), "left_semi")
+            inside = docs.join(edge.select(F.col("source").alias("of"), F.col("cell").alias("within")), F.col("source").eqNullSafe(F.col("of")) & F.col("hash").startswith(F.col("within")), "left_semi")
     # the last cell is one document (or rows of one hash): take it if the total comes nearer so
     return edge.select("source", "cell", (F.abs(F.col("words") - F.col("left")) < F.col("left")).alias("with_cell"))
 
@@ -95,8 +96,8 @@ def _rules(sized: DataFrame, weights, most: int) -> DataFrame:
     """rule_source, source_size, target, cell, with_cell: a row for each source."""
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
     edges = _thresholds(sized.select("source", "hash", "size"), targets)
-    both = targets.join(edges, targets["source"].eqNullSafe(edges["source"]), "left")
-    return checked_broadcast(cut(both.select(targets["source"].alias("rule_source"), "source_size", "target", "cell", "with_cell")))
+    both = targets.join(edges.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
+    return checked_broadcast(cut(both.select(F.col("source").alias("rule_source"), "source_size", "target", "cell", "with_cell")))
 
 
 def _copies(rows: DataFrame, rules: DataFrame, most: int) -> DataFrame:
@@ -105,14 +106,14 @@ def _copies(rows: DataFrame, rules: DataFrame, most: int) -> DataFrame:
     at = F.substring(F.col("hash"), F.lit(1), F.length("cell"))
     # a cell is missing where the budget reaches over the last document
     more = F.when(F.col("cell").isNull(), (F.col("target") > once * F.col("source_size")).cast("int")).otherwise(((at < F.col("cell")) | ((at == F.col("cell")) & F.col("with_cell"))).cast("int"))
-    joined = rows.join(rules, rows["source"].eqNullSafe(F.col("rule_source")))
+    joined = rows.join(rules, F.col("source").eqNullSafe(F.col("rule_source")))
     return joined.withColumn("copies", F.least(F.lit(most), once + more).cast("int")).drop("rule_source", "cell", "with_cell")
 
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row of ``docs``."""
     sized = cut(_sized(docs))
-    return _copies(sized, _rules(sized, weights, most), most).drop("hash")
+    return _copies(sized, _rules(sized, weights, most), most).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
