@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, html, mixing, packing, quality, secrets, simhash, substring, topk
+from . import chat, html, mixing, packing, quality, secrets, simhash, substring, suffix, topk
 
 QUERIES = {
     "op2_chat_formatting": chat.op2_chat_formatting,
     "op3_quality_rules": quality.op3_quality_rules,
     "op1_packing": packing.op1_packing,
+    "op4_suffix_array_dedup": suffix.op4_suffix_array_dedup,
     "op5_mixing": mixing.op5_mixing,
     "op6_secret_scans": secrets.op6_secret_scans,
     "op7_html_extraction": html.op7_html_extraction,
