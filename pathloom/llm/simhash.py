@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, shuffle_width, small_batches, table
+from .common import cut, fresh, shuffle_width, small_batches, table
 
 SHINGLE, SEED, NEAR, BITS = 3, 42, 3, 64
 #: Nodes of one block value that one task compares.
@@ -202,22 +202,33 @@ def components(edges: DataFrame) -> DataFrame:
         before, edges = told, after
 
 
-def classes(marked: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
-    """(fp, component_id): the smallest doc_id of the component of each fingerprint of ``marked`` (doc_id, fp)."""
-    nodes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(near_edges(nodes, near, group))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    return cut(linked.join(smallest, "root").select("fp", "component_id"))
+def roots(marked: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
+    """(fp, root) of each fingerprint of ``marked``; a component has one root."""
+    nodes = cut(marked.select("fp").distinct())
+    linked = components(near_edges(nodes, near, group))
+    return nodes.join(linked, nodes["fp"] == linked["node"], "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
-def near_classes(docs: DataFrame, near: int = NEAR, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+def near_classes(docs: DataFrame, near: int = NEAR, shingle: int = SHINGLE, seed: int = SEED, group: int = GROUP) -> DataFrame:
     """doc_id, fp, component_id of every row of ``docs``."""
     marked = cut(fingerprints(docs, "doc_id", shingle=shingle, seed=seed))
-    of = classes(marked, near).withColumnRenamed("fp", "of_fp")
+    least = marked.groupBy("fp").agg(F.min("doc_id").alias("least")).join(roots(marked, near, group), "fp")
+    smallest = least.groupBy("root").agg(F.min("least").alias("component_id"))
+    of = cut(least.join(smallest, "root").select(F.col("fp").alias("of_fp"), "component_id"))
     return marked.join(of, F.col("fp") == F.col("of_fp")).drop("of_fp")
 
 
+def drop_near(docs: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest doc_id, and of equal ones the first."""
+    (place,) = fresh(docs, "place")
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    marked = cut(fingerprints(placed, place, "doc_id"))
+    rank = F.struct(F.col("doc_id").isNull(), "doc_id", place)
+    of = marked.groupBy("fp").agg(F.min(rank).alias("first")).join(roots(marked, near, group), "fp")
+    kept = cut(of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first").getField(place).alias(place)))
+    return placed.join(kept, place, "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op8_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     found = near_classes(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
