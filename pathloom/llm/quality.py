@@ -25,7 +25,7 @@ from .common import SPACE, checked_broadcast, cut, fresh, let, table, whole, wor
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rules: rate per 1000 words or lines, with the least distance from upper quartile to fence.
-RATES = {"symbol_rate": 200, "dup_line_rate": 250, "repeat_rate": 250}
+RATES = {"symbol_rate": 200, "dup_line_rate": 400, "repeat_rate": 250}
 #: A fence stands so many interquartile ranges above the upper quartile.
 REACH = 3
 #: Rates from here on share a cell of the sketch, so it is bounded.
@@ -211,7 +211,7 @@ WITH docs AS (
 SELECT q.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND coalesce(
          symbol_rate <= f.s[2] + greatest(200, 3 * (f.s[2] - f.s[1])) AND
-         dup_line_rate <= f.d[2] + greatest(250, 3 * (f.d[2] - f.d[1])) AND
+         dup_line_rate <= f.d[2] + greatest(400, 3 * (f.d[2] - f.d[1])) AND
          repeat_rate <= f.r[2] + greatest(250, 3 * (f.r[2] - f.r[1])), FALSE) AS kept
 FROM rated q LEFT JOIN fences f ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source
 """
