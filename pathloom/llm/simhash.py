@@ -28,6 +28,8 @@ from .common import cut, fresh, shuffle_width, small_batches, table
 SHINGLE, SEED, NEAR, BITS = 3, 42, 3, 64
 #: Nodes of one block value that one task compares.
 GROUP = 4096
+#: With so few bits left, a group is split no further: it has 2 ** FEW nodes at most.
+FEW = 12
 
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SPACES = re.compile(rb"[\x20\x09-\x0D]+")
@@ -77,12 +79,6 @@ def _blocks(bits: list[int], parts: int) -> list[list[int]]:
     return [bits[a:b] for a, b in zip(edges, edges[1:], strict=False)]
 
 
-def _split(rows: DataFrame, path: tuple[tuple[int, ...], ...]) -> list[tuple[tuple, DataFrame]]:
-    """Rows (key, fp) of one path, dealt again by each block of the bits that the path hasn't used."""
-    used = {b for block in path for b in block}
-    return [((*path, tuple(block)), block) for block in _blocks([b for b in range(BITS) if b not in used], NEAR + 1)]
-
-
 def _masked(bits: Iterable[int]) -> int:
     mask = sum(1 << b for b in bits)
     return mask - (1 << 64) if mask >> 63 else mask
@@ -153,29 +149,28 @@ def _near_edges(near: int):
 
 
 def near_edges(nodes: DataFrame, near: int = NEAR, group: int = GROUP) -> DataFrame:
-    """(a, b): near pairs of ``nodes`` (distinct fp), as many as connect what is connected within a block."""
-    spark = nodes.sparkSession
-    todo, done = [((), nodes.select(F.lit(0).cast("long").alias("key"), "fp"))], []
-    while todo:
-        dealt = []
-        for path, rows in todo:
-            for longer, block in _split(rows, path):
-                bits = [b for part in longer for b in part]
-                key = F.xxhash64(F.lit(",".join(map(str, sorted(block))) + ";" + str(len(longer)) + str(path)), F.col("fp").bitwiseAND(F.lit(_masked(bits))))
-                dealt.append((longer, rows.select(key.alias("key"), "fp")))
-        todo = []
-        for longer, rows in dealt:
-            full = sum(map(len, longer)) >= BITS - near  # nothing is left to split by
-            hot = None if full else cut(rows.groupBy("key").count().filter(F.col("count") > group).select("key"))
-            if hot is None or hot.isEmpty():
-                done.append(rows)
-            else:
-                done.append(rows.join(hot, "key", "left_anti"))
-                todo.append((longer, cut(rows.join(hot, "key", "left_semi"))))
-    every = done[0]
-    for rows in done[1:]:
-        every = every.unionByName(rows)
-    return every.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "fp").mapInArrow(_near_edges(near), "a long, b long")
+    """(a, b): near pairs of ``nodes`` (distinct fp), as many as connect what is connected within a block.
+
+    A path is the blocks that rows have been dealt by. Groups over ``group`` go on to the blocks of the
+    bits that their path leaves, all paths in one table; at few bits left a group can't be large.
+    """
+    spark, parts = nodes.sparkSession, near + 1
+    paths, todo, done = [list(range(BITS))], nodes.select("fp", F.lit(0).alias("path")), None
+    while todo is not None:
+        longer = [(path, block) for path in paths for block in _blocks(path, parts)]
+        paths = [[b for b in path if b not in block] for path, block in longer]
+        masks = F.array(*[F.lit(_masked(set(range(BITS)) - set(path))) for path in paths])
+        rows = todo.select("fp", F.explode(F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda k: F.col("path") * parts + k)).alias("path"))
+        rows = rows.select("fp", "path", F.xxhash64("path", F.col("fp").bitwiseAND(masks[F.col("path")])).alias("key"))
+        todo, last = None, max(map(len, paths)) <= FEW
+        if not last:
+            hot = cut(rows.groupBy("key").count().filter(F.col("count") > group).select("key"))
+            if not hot.isEmpty():
+                todo = cut(rows.join(hot, "key", "left_semi").select("fp", "path"))
+                rows = rows.join(hot, "key", "left_anti")
+        rows = rows.select("key", "fp")
+        done = rows if done is None else done.unionByName(rows)
+    return done.repartition(shuffle_width(spark), "key").sortWithinPartitions("key", "fp").mapInArrow(_near_edges(near), "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
