@@ -125,6 +125,11 @@ def firsts(*keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def groups(starts: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Where each group begins and ends."""
+    return zip(starts.tolist(), [*starts[1:].tolist(), n] if len(starts) else [], strict=True)
+
+
 def spread(values: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """A value of each group for each of its rows."""
     return np.repeat(values, np.diff(np.append(starts, n)))

@@ -102,9 +102,9 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 class Runs:
     """Runs of windows that share an anchor, in one chunk: anchor's hash, document, place, first and last window."""
 
-    def __init__(self, docs: C.Docs, length: int, gram: int):
+    def __init__(self, docs: C.Docs, length: int, gram: int, segment: int = SEGMENT):
         parts: list[tuple] = []
-        for data, doc, base in segments(docs, length):
+        for data, doc, base in segments(docs, length, segment):
             parts.append(self._of(data, doc, base, length, gram))
         kinds = (np.uint64, np.int64, np.int64, np.int64, np.int64)
         self.hash, self.doc, self.place, self.first, self.last = (np.concatenate([p[k] for p in parts]).astype(t) if parts else np.zeros(0, t) for k, t in enumerate(kinds))
@@ -170,11 +170,11 @@ class Anchors:
         return out
 
 
-def _count(length: int, gram: int, buckets: int):
+def _count(length: int, gram: int, segment: int, buckets: int):
     schema = C.arrow_schema(SENT1)
 
     def work(chunk: int, docs: C.Docs) -> Iterator[tuple]:
-        anchors = Anchors(Runs(docs, length, gram), buckets)
+        anchors = Anchors(Runs(docs, length, gram, segment), buckets)
         for b in range(buckets):
             a, z = anchors.edges[b], anchors.edges[b + 1]
             if a < z:
@@ -204,7 +204,7 @@ def _known(group: int):
     return run
 
 
-def _contexts(length: int, gram: int, buckets: int):
+def _contexts(length: int, gram: int, segment: int, buckets: int):
     """The surroundings of each known anchor, for its bucket; for hot anchors the hashes of their windows."""
     schema = C.arrow_schema(SENT2)
 
@@ -212,13 +212,13 @@ def _contexts(length: int, gram: int, buckets: int):
         out: list[tuple] = []
         if rows.num_rows and answers.num_rows:
             docs, chunk = C.Docs(rows), rows.column("chunk")[0].as_py()
-            runs = Runs(docs, length, gram)
+            runs = Runs(docs, length, gram, segment)
             anchors, told = Anchors(runs, buckets), answers.to_pylist()
             hot = anchors.told(told, "hot")
             known = np.flatnonzero(anchors.told(told, "known") & ~hot)
             known = known[np.argsort(runs.hash[known] % U(buckets), kind="stable")]
             bucket = (runs.hash[known] % U(buckets)).astype(np.int64)
-            for a, z in zip(begin := C.firsts(bucket), np.append(begin[1:], len(known)), strict=True):
+            for a, z in C.groups(C.firsts(bucket), len(known)):
                 k = known[a:z]
                 texts = [docs.data[docs.offsets[d] + i : docs.offsets[d] + j + length].tobytes() for d, i, j in zip(runs.doc[k], runs.first[k], runs.last[k], strict=True)]
                 out.append((int(bucket[a]), chunk, 0, runs.hash[k].tobytes(), runs.doc[k].astype("<u4").tobytes(), runs.place[k].tobytes(), runs.first[k].tobytes(), runs.last[k].tobytes(), b"".join(texts)))
@@ -247,8 +247,7 @@ def _windows(docs: C.Docs, chunk: int, runs: Runs, hot: np.ndarray, length: int,
     bucket = (high % U(buckets)).astype(np.int64)
     order = np.lexsort((more, high, bucket))
     bucket, high, more, doc, at = bucket[order], high[order], more[order], doc[order], at[order]
-    cuts = C.firsts(bucket)
-    for a, z in zip(cuts, np.append(cuts[1:], len(bucket)), strict=True):
+    for a, z in C.groups(C.firsts(bucket), len(bucket)):
         # of a window that the chunk has several times only the first is sent with its hash; all with their place
         new = C.firsts(high[a:z], more[a:z])
         times = np.diff(np.append(new, z - a)).astype("<u4")
@@ -288,7 +287,7 @@ def maximal_repeats(texts: list[tuple[bytes, int]], length: int) -> list[list[tu
     right = [texts[k][0][texts[k][1] :] for k in order]
     left = [texts[k][0][: texts[k][1]][::-1] for k in order]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    reach = [0] * len(texts)  # how far to the left it is already known to be repeated, with a longer prefix
+    reach = [-1] * len(texts)  # how far to the left it is already known to be repeated, with a longer prefix
     for prefix, first, last in intervals([common(a, b) for a, b in zip(right, right[1:], strict=False)]):
         inside = sorted(range(first, last + 1), key=left.__getitem__)
         near = [common(left[a], left[b]) for a, b in zip(inside, inside[1:], strict=False)]
@@ -327,10 +326,9 @@ def _sorted(rows: list[dict], length: int, found: dict) -> None:
             texts.append(data[at : at + n])
             at += n
     order = np.argsort(hashes, kind="stable")
-    begin = C.firsts(hashes[order])
     start, end = np.full(len(order), -1, np.int64), np.full(len(order), -1, np.int64)
     more: list[tuple[int, int, int]] = []
-    for a, z in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True):
+    for a, z in C.groups(C.firsts(hashes[order]), len(order)):
         if z - a < 2:
             continue
         same: dict[tuple[bytes, int], list[int]] = {}
@@ -369,8 +367,7 @@ def _counted(rows: list[dict], length: int, found: dict) -> None:
 
 def _tell(found: dict, chunk: np.ndarray, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> None:
     order = np.argsort(chunk, kind="stable")
-    cuts = C.firsts(chunk[order])
-    for a, z in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True) if len(order) else ():
+    for a, z in C.groups(C.firsts(chunk[order]), len(order)):
         k = order[a:z]
         found.setdefault(int(chunk[k[0]]), []).append((doc[k].astype("<u4"), start[k].astype("<i8"), end[k].astype("<i8")))
 
@@ -392,15 +389,15 @@ def _cleaned(rows: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_batches([C.record(out, C.arrow_schema(RESULT))])
 
 
-def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def dedup_suffixes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, segment: int = SEGMENT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark)
     buckets = shuffle_width(spark)
     rows = C.chunked(docs)
-    sent = rows.mapInArrow(_count(length, gram, buckets), SENT1)
+    sent = rows.mapInArrow(_count(length, gram, segment, buckets), SENT1)
     known = cut(sent.groupBy("bucket").applyInArrow(_known(group), ANSWER1))
-    contexts = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_contexts(length, gram, buckets), SENT2)
+    contexts = rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_contexts(length, gram, segment, buckets), SENT2)
     repeats = contexts.groupBy("bucket").applyInArrow(_repeats(length), ANSWER2)
     return rows.groupBy("chunk").cogroup(repeats.groupBy("chunk")).applyInArrow(_cleaned, RESULT)
 
