@@ -15,12 +15,17 @@ documents there are.
 
 from __future__ import annotations
 
+import gc
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,12 +46,15 @@ _ROWS = "pack_group long, doc_id long, start long, length long, ids_crc32 long,
 class Encoder:
     """Ids of whole texts. White space ends a token in this vocabulary's rules, so words are encoded once.
 
-    The memo is bounded. It is keyed by the lower-case word where lowering the text first is sure to
-    be what the tokenizer does (texts of Latin-1); a full stop or comma at the end is a token by itself.
+    Texts of Latin-1 are lowered first, as the tokenizer would; punctuation behind a letter is a token
+    by itself, and a word of Latin-1 letters goes to the merges as it is. The memo is bounded: when its
+    young half is full it becomes the old one, from which words that come again return.
     """
 
-    MEMO, LONGEST = 400_000, 40
-    ODD = re.compile("[\x1c-\x1f]")  # white space to str.split, not to the tokenizer
+    YOUNG, LONGEST = 500_000, 40
+    #: Punctuation behind a letter and before white space, which a space may as well stand before.
+    TAIL = r"([a-z\x{E0}-\x{F6}\x{F8}-\x{FF}])([[:punct:]]+)([ \n]|$)"
+    ODD = re.compile("[\x1c-\x1f]")  # not white space to the tokenizer, but so to others
 
     def __init__(self, path: str | None = None):
         import os
@@ -55,44 +63,87 @@ class Encoder:
         import public_tokenizers
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
+        path = path or public_tokenizers.path(VOCABULARY)
+        self.tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            bare = json.load(f)
+        bare |= {"normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "added_tokens": []}
+        self.merges = Tokenizer.from_str(json.dumps(bare))
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, missing: set[str]) -> None:
-        stems = {w: w[:-1] if w[-1] in ".," and w[-2:-1].isalpha() else w for w in missing}
-        new = [w for w in {*stems.values(), ".", ","} if w not in self.memo]
-        self.memo.update(zip(new, self._bytes(new), strict=True))
-        for w, stem in stems.items():
-            if stem is not w:
-                self.memo[w] = self.memo[stem] + self.memo[w[-1]]
-
-    def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for text in texts:
-            if self.ODD.search(text):
-                yield np.frombuffer(self._bytes([text])[0], self.kind)
-                continue
-            try:
-                text.encode("latin-1")
-                words = text.lower().split()
-            except UnicodeEncodeError:
-                words = text.split()
-            memo = self.memo
-            missing = {w for w in words if w not in memo}
-            if missing:
-                if len(memo) > self.MEMO:
-                    memo.clear()
-                    missing = set(words)
-                if len(long := {w for w in missing if len(w) > self.LONGEST}):
-                    own = dict(zip(long, self._bytes(list(long)), strict=True))
-                    self._learn(missing - long)
-                    yield np.frombuffer(b"".join([own[w] if w in own else memo[w] for w in words]), self.kind)
-                    continue
-                self._learn(missing)
-            yield np.frombuffer(b"".join([memo[w] for w in words]), self.kind)
+        # a control token's string is one id wherever it stands
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        # bytes as the vocabulary writes them: printable ones as they are, others from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.shown = {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*shown}))}
+
+    def _bytes(self, texts: list[str], by=None) -> list[bytes]:
+        code = "H" if self.kind.itemsize == 2 else "I"
+        return [array(code, e.ids).tobytes() for e in (by or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encoded(self, words: list[str]) -> dict[str, bytes]:
+        plain = [w for w in words if w.isalpha() and w.islower() and max(w) <= "\xff"]
+        out = dict(zip(plain, self._bytes([w if w.isascii() else w.encode().decode("latin-1").translate(self.shown) for w in plain], self.merges), strict=True))
+        rest = [w for w in words if w not in out]
+        return out | dict(zip(rest, self._bytes(rest), strict=True))
+
+    def _learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of words that aren't in the young memo."""
+        if len(self.young) > self.YOUNG:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        young |= (known := {w: old[w] for w in missing if w in old})
+        got = self._encoded(list(missing - known.keys()))
+        young |= {w: x for w, x in got.items() if len(w) <= self.LONGEST}
+        return known | got
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and where those of each text end."""
+        low = [t.lower() if _latin(t) else t for t in texts]
+        odd = {k for k, t in enumerate(low) if self.ODD.search(t) or any(x in t for x in self.special)}
+        if not odd:
+            return self._by_words(low)
+        # rare: these by the tokenizer alone
+        every, ends = self._by_words([t for k, t in enumerate(low) if k not in odd])
+        usual = iter(np.split(every, ends[:-1]) if len(ends) else [])
+        parts = [np.frombuffer(self._bytes([t])[0], self.kind) if k in odd else next(usual) for k, t in enumerate(texts)]
+        return np.concatenate(parts), np.cumsum([len(x) for x in parts])
+
+    def _by_words(self, low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        lowered = pa.array(low, pa.large_string())
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(lowered, self.TAIL, r"\1 \2\3"))
+        found = lists.flatten().dictionary_encode()
+        words = found.dictionary.to_pylist()
+        ids = list(map(self.young.get, words))
+        missing = {w for w, x in zip(words, ids, strict=True) if x is None}
+        if missing:
+            learnt = self._learn(missing)
+            ids = [learnt[w] if x is None else x for w, x in zip(words, ids, strict=True)]
+        # the ids of each occurrence, from those of the distinct words one after the other
+        every = np.frombuffer(b"".join(ids), self.kind)
+        size = np.array([len(x) for x in ids], np.int64) // self.kind.itemsize
+        begin = np.cumsum(size) - size
+        which = found.indices.to_numpy()
+        n = size[which]
+        upto = np.cumsum(n)
+        at = np.arange(upto[-1] if len(upto) else 0) + np.repeat(begin[which] - (upto - n), n)
+        ends = lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
+        return every[at], np.concatenate([[0], upto])[ends]
+
+
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@lru_cache(2)
+def encoder(path: str | None) -> Encoder:
+    """One for each worker process, so that tasks share its memo."""
+    return Encoder(path)
 
 
 def crc(ids: np.ndarray) -> int:
@@ -111,13 +162,14 @@ def _tokenized(groups: int, length: int, path: str | None):
     schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split() for c in _ROWS.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = Encoder(path), 0
-        end = np.array([END_ID], encoder.kind)
+        own, place = encoder(path), 0
+        gc.disable()  # the memo is large, and no cycles are made here
+        end = np.array([END_ID], own.kind)
         for batch in batches:
             rows: list[tuple] = []
-            ids_of = encoder.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc, ids in zip(batch.column(0).to_pylist(), ids_of, strict=True):
-                ids, place = np.concatenate([ids, end]), place + 1
+            every, ends = own.encode([t or "" for t in batch.column(1).to_pylist()])
+            for doc, a, z in zip(batch.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                ids, place = np.concatenate([every[a:z], end]), place + 1
                 n = len(ids)
                 group = _mixed(_mixed(doc or 0) + place) % groups
                 whole = n // length * length
@@ -210,7 +262,7 @@ def _packed(length: int, slack: int):
 def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, slack: int = SLACK, vocabulary: str | None = None) -> DataFrame:
     """A row for each piece (``PIECES``) of the texts of ``docs``. ``vocabulary``: a path that executors have."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 1024)
     groups = max(1, -(-docs.count() // group))
     rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenized(groups, length, vocabulary), _ROWS)
     return rows.groupBy("pack_group").applyInArrow(_packed(length, slack), PIECES)
