@@ -109,8 +109,9 @@ def measure(docs: DataFrame, into: str = "quality") -> DataFrame:
 def sketches(measured: DataFrame, quality: str = "quality") -> DataFrame:
     """lang, source, rule, value, n: merged histograms of the documents that pass the base."""
     q = F.col(quality)
-    rows = measured.filter(~q["base_failed"]).select("lang", "source", *[q[r].alias(r) for r in RATES])
-    long = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RATES])).alias("x"))
+    values = F.array(*[F.struct(F.lit(r).alias("rule"), q[r].alias("value")) for r in RATES])
+    # no filter, which the optimizer would move below the counts and count again for
+    long = measured.select("lang", "source", F.explode(F.when(~q["base_failed"], values).otherwise(F.slice(values, 1, 0))).alias("x"))
     return long.groupBy("lang", "source", F.col("x.rule").alias("rule"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
 
 
@@ -152,7 +153,10 @@ def filter_quality(docs: DataFrame) -> DataFrame:
     measured = measure(docs, into)
     judged = judge(measured, thresholds(measured, into), into)
     kept = next(c for c in reversed(judged.columns) if c.lstrip("_") == "kept")
-    return judged.filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # as an explode rather than a filter, which the optimizer would move below the counts and count again for
+    (once,) = fresh(judged, "once")
+    kept_rows = judged.withColumn(once, F.explode(F.when(F.col(kept), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
+    return kept_rows.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
