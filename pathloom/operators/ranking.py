@@ -186,12 +186,12 @@ def walk_hits(walks: DataFrame) -> DataFrame:
     return walks.groupBy("src", "node").agg(F.count("*").alias("hits"))
 
 
-def refresh_walks(walks: DataFrame, changed: DataFrame, edges: DataFrame, **settings) -> DataFrame:
+def refresh_walks(index: DataFrame, changed: DataFrame, edges: DataFrame, **settings) -> DataFrame:
     """The index after edges of the nodes ``changed`` (id) came or went: sources whose walks visit them walk again."""
-    stale = walks.join(changed.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("src").alias("id")).unionByName(changed.select("id")).distinct()
-    stale = stale.join(walks.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
+    stale = index.join(changed.select(F.col("id").alias("node")), "node", "left_semi").select(F.col("src").alias("id")).unionByName(changed.select("id")).distinct()
+    stale = stale.join(index.select(F.col("src").alias("id")).distinct(), "id", "left_semi")
     fresh = sampled_walks(stale, edges, **settings)
-    return walks.join(stale.select(F.col("id").alias("src")), "src", "left_anti").unionByName(fresh)
+    return index.join(stale.select(F.col("id").alias("src")), "src", "left_anti").unionByName(fresh)
 
 
 def alias_tables(edges: DataFrame) -> DataFrame:
