@@ -72,7 +72,13 @@ def _expected(s, d):
     return g.na.fill(0.5, ["q1", "q2", "q3"]).withColumns({"qb": F.col("q1") * F.col("q2"), "qh": F.col("q3")})
 
 
-plain("pseudo_log_odds", "edges confidences", f"WITH {FACT}, {GROUND} SELECT g.x, g.z, round(1 / (1 + exp(-least(greatest(sum(1.5 * coalesce(a.raw, 0.5) * coalesce(b.raw, 0.5)), -40), 40))), 9) AS probability FROM g LEFT JOIN confidences a ON a.src = g.x AND a.rel = 'contains' AND a.dst = g.y LEFT JOIN confidences b ON b.src = g.y AND b.rel = 'supplied_by' AND b.dst = g.z GROUP BY g.x, g.z", lambda s, d: _expected(s, d).groupBy("x", "z").agg(F.round(S.sigmoid(S.clamp(F.sum(1.5 * F.col("qb")), -40.0, 40.0)), 9).alias("probability")))
+plain("pseudo_log_odds", "edges confidences", f"WITH {FACT}, {GROUND}, o AS (SELECT g.x, g.z, 1 / (1 + exp(-least(greatest(sum(1.5 * coalesce(a.raw, 0.5) * coalesce(b.raw, 0.5)), -40), 40))) AS p FROM g LEFT JOIN confidences a ON a.src = g.x AND a.rel = 'contains' AND a.dst = g.y LEFT JOIN confidences b ON b.src = g.y AND b.rel = 'supplied_by' AND b.dst = g.z GROUP BY g.x, g.z) SELECT x, count(*) AS heads, round(avg(p), 9) AS mean, round(max(p), 9) AS most FROM o GROUP BY x", lambda s, d: _odds(s, d).groupBy("x").agg(F.count("*").alias("heads"), F.round(F.avg("p"), 9).alias("mean"), F.round(F.max("p"), 9).alias("most")))
+
+
+def _odds(s, d):
+    return _expected(s, d).groupBy("x", "z").agg(S.sigmoid(S.clamp(F.sum(1.5 * F.col("qb")), -40.0, 40.0)).alias("p"))
+
+
 plain("mln_exact_partition", None, "WITH w AS (SELECT i, (i & 1) AS a, (i >> 1) & 1 AS b, (i >> 2) & 1 AS c FROM range(8) t(i)) SELECT round(ln(sum(exp(1.2 * CASE WHEN a = 1 AND b = 1 AND c = 0 THEN 0 ELSE 1 END + 0.4 * a))), 9) AS log_partition FROM w", lambda s, d: s.createDataFrame([(round(mln.exact_log_partition([1.2, 0.4], [([0, 1], 2), ([], 0)], 3), 9),)], "log_partition double"))
 plain("mln_log_prob", "edges", f"WITH {RULES} SELECT kind, round(sum(ln(1 + confidence) * support) - ln(sum(exp(least(confidence, 1)))), 6) AS log_prob FROM rules GROUP BY kind", lambda s, d: rules(s, d).groupBy("kind").agg(F.round(F.sum(F.log1p("confidence") * F.col("support")) - F.ln(F.sum(F.exp(F.least("confidence", F.lit(1.0))))), 6).alias("log_prob")))
 plain("all_corruptions", "edges", f"WITH {SMALL}, p AS (SELECT * FROM f WHERE rel = 'located_in' AND src LIKE 'Supplier/%'), t AS (SELECT DISTINCT rel, dst AS tail FROM f) SELECT DISTINCT src, rel, tail AS dst FROM p JOIN t USING (rel) WHERE tail <> dst EXCEPT SELECT * FROM f", lambda s, d: R.corruptions(small(s, d), small(s, d).filter("rel = 'located_in' AND src LIKE 'Supplier/%'")))
