@@ -48,7 +48,7 @@ class GraphConfig:
     valid_to: str | None = None
     status: str | None = None
     raw_confidence: str | None = None
-    npll_posterior: str | None = None
+    model_posterior: str | None = None
     calibration: str | None = None
     inline_sources: tuple[str, ...] = ()
 

@@ -19,7 +19,7 @@ def canonical_edges(df: DataFrame, config: GraphConfig = GraphConfig()) -> DataF
     src, rel, dst = (F.col(getattr(config, n)).cast("string") for n in ("source", "relation", "target"))
     key = F.col(config.edge_id).cast("string") if config.edge_id else edge_hash(src, rel, dst)
     sources = F.array_compact(F.array(*[F.col(c).cast("string") for c in config.inline_sources])) if config.inline_sources else F.array().cast("array<string>")
-    signals = [mapped(n, k) for n, k in (("created_at", "timestamp"), ("valid_from", "timestamp"), ("valid_to", "timestamp"), ("status", "string"), ("raw_confidence", "double"), ("npll_posterior", "double"), ("calibration", "double"))]
+    signals = [mapped(n, k) for n, k in (("created_at", "timestamp"), ("valid_from", "timestamp"), ("valid_to", "timestamp"), ("status", "string"), ("raw_confidence", "double"), ("model_posterior", "double"), ("calibration", "double"))]
     weight = F.coalesce(F.expr(f"try_cast(`{config.weight}` AS DOUBLE)"), F.lit(1.0)) if config.weight else F.lit(1.0)
     return df.select(key.alias("edge_id"), src.alias("src"), rel.alias("rel"), dst.alias("dst"), weight.alias("weight"), *signals, sources.alias("inline_sources"), F.struct(*df.columns).alias("assertion"))
 
@@ -69,7 +69,7 @@ def effective_weight(edges: DataFrame, priors: DataFrame | None = None, as_of: s
     if as_of is not None:
         weight = weight * decay(F.col("created_at"), as_of, half_life)
     if fuse:
-        weight = weight * fused_confidence(F.col("raw_confidence"), F.col("npll_posterior"), F.col("calibration"))
+        weight = weight * fused_confidence(F.col("raw_confidence"), F.col("model_posterior"), F.col("calibration"))
     out = edges.withColumn("effective_weight", weight)
     return out.drop("prior") if priors is not None else out
 

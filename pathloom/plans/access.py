@@ -176,7 +176,7 @@ plain("strongest_affinities", "affinities", "SELECT from_c, to_c, round(score, 9
 
 
 def _signals(s, d):
-    return D.confidences(D.edges(s, d)).withColumns({"raw_confidence": F.col("raw"), "npll_posterior": F.col("npll"), "calibration": F.col("calib")})
+    return D.confidences(D.edges(s, d)).withColumns({"raw_confidence": F.col("raw"), "model_posterior": F.col("posterior"), "calibration": F.col("calib")})
 
 
 def _weighted(s, d):
@@ -185,16 +185,16 @@ def _weighted(s, d):
 
 
 DECAY = "coalesce(pow(2.0, -greatest(CAST(epoch(TIMESTAMP '1999-01-01') - floor(epoch(created_at)) AS DOUBLE) / 86400.0, 0) / 30.0), 1.0)"
-FUSED = "coalesce(raw, 0.5) * coalesce(npll, 0.5) * coalesce(calib, 0.5)"
+FUSED = "coalesce(raw, 0.5) * coalesce(posterior, 0.5) * coalesce(calib, 0.5)"
 plain("effective_weight", "edges confidences", f"SELECT edge_id, src, dst, round(weight * CASE rel WHEN 'contains' THEN 0.5 WHEN 'placed' THEN 2.0 ELSE 1.0 END * {DECAY} * {FUSED}, 9) AS effective_weight FROM edges JOIN confidences USING (src, rel, dst)", _weighted)
-plain("fused_confidence", "confidences", f"SELECT src, rel, dst, round({FUSED}, 9) AS fused FROM confidences", lambda s, d: D.confidences(D.edges(s, d).select("src", "rel", "dst").distinct()).select("src", "rel", "dst", F.round(S.fused_confidence(F.col("raw"), F.col("npll"), F.col("calib")), 9).alias("fused")))
+plain("fused_confidence", "confidences", f"SELECT src, rel, dst, round({FUSED}, 9) AS fused FROM confidences", lambda s, d: D.confidences(D.edges(s, d).select("src", "rel", "dst").distinct()).select("src", "rel", "dst", F.round(S.fused_confidence(F.col("raw"), F.col("posterior"), F.col("calib")), 9).alias("fused")))
 plain(
     "combine_confidence", "confidences",
-    """WITH l AS (SELECT src, rel, dst, CASE WHEN raw IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN npll IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN calib IS NOT NULL THEN 0.1 ELSE 0 END AS w,
-         coalesce(0.5 * ln(least(greatest(raw, 1e-6), 1 - 1e-6) / (1 - least(greatest(raw, 1e-6), 1 - 1e-6))), 0) + coalesce(0.4 * ln(least(greatest(npll, 1e-6), 1 - 1e-6) / (1 - least(greatest(npll, 1e-6), 1 - 1e-6))), 0)
+    """WITH l AS (SELECT src, rel, dst, CASE WHEN raw IS NOT NULL THEN 0.5 ELSE 0 END + CASE WHEN posterior IS NOT NULL THEN 0.4 ELSE 0 END + CASE WHEN calib IS NOT NULL THEN 0.1 ELSE 0 END AS w,
+         coalesce(0.5 * ln(least(greatest(raw, 1e-6), 1 - 1e-6) / (1 - least(greatest(raw, 1e-6), 1 - 1e-6))), 0) + coalesce(0.4 * ln(least(greatest(posterior, 1e-6), 1 - 1e-6) / (1 - least(greatest(posterior, 1e-6), 1 - 1e-6))), 0)
          + coalesce(0.1 * ln(least(greatest(calib, 1e-6), 1 - 1e-6) / (1 - least(greatest(calib, 1e-6), 1 - 1e-6))), 0) AS t FROM confidences)
        SELECT src, rel, dst, CASE WHEN w > 0 THEN round(1 / (1 + exp(-t / w)), 9) END AS confidence FROM l""",
-    lambda s, d: D.confidences(D.edges(s, d).select("src", "rel", "dst").distinct()).select("src", "rel", "dst", F.round(S.combine_confidence(F.col("raw"), F.col("npll"), F.col("calib")), 9).alias("confidence")),
+    lambda s, d: D.confidences(D.edges(s, d).select("src", "rel", "dst").distinct()).select("src", "rel", "dst", F.round(S.combine_confidence(F.col("raw"), F.col("posterior"), F.col("calib")), 9).alias("confidence")),
 )
 plain("confidence_constant", "edges", "SELECT DISTINCT src, rel, dst, 0.8::DOUBLE AS confidence FROM edges", lambda s, d: __import__("pathloom.operators.paths", fromlist=["x"]).default_confidence(D.edges(s, d).select("src", "rel", "dst").distinct()))
 plain("transition_probs", "edges", "SELECT src, dst, round(sum(greatest(weight, 0)) / max(t), 9) AS share FROM edges JOIN (SELECT src, sum(greatest(weight, 0)) AS t FROM edges GROUP BY src) USING (src) GROUP BY src, dst", lambda s, d: __import__("pathloom.operators.ranking", fromlist=["x"]).weighted_transition(D.edges(s, d)).select("src", "dst", F.round("share", 9).alias("share")))

@@ -139,10 +139,10 @@ def communities(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def confidences(df: DataFrame) -> DataFrame:
-    """``df`` (src, rel, dst) with raw, npll and calib: a rule over the digits of the ids, some of them missing."""
+    """``df`` (src, rel, dst) with raw, posterior and calib: a rule over the digits of the ids, some of them missing."""
     key = F.coalesce(F.regexp_extract("src", "([0-9]+)$", 1).try_cast("bigint"), F.lit(0)) * 31 + F.coalesce(F.regexp_extract("dst", "([0-9]+)$", 1).try_cast("bigint"), F.lit(0)) * 17 + F.length("rel")
     share = lambda k: ((key * k + k) % 100).cast("double") / 100.0
-    return df.withColumns({"raw": F.when(key % 10 != 0, share(7)), "npll": F.when(key % 3 != 0, share(13)), "calib": F.when(key % 5 != 0, share(29))})
+    return df.withColumns({"raw": F.when(key % 10 != 0, share(7)), "posterior": F.when(key % 3 != 0, share(13)), "calib": F.when(key % 5 != 0, share(29))})
 
 
 def graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -188,7 +188,7 @@ CTES = {
     "keyed": "SELECT DISTINCT src, rel, dst, coalesce(TRY_CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT), 0) * 31 + coalesce(TRY_CAST(regexp_extract(dst, '([0-9]+)$', 1) AS BIGINT), 0) * 17 + length(rel) AS key FROM edges",
     "confidences": """
   SELECT src, rel, dst, CASE WHEN key % 10 <> 0 THEN ((key * 7 + 7) % 100)::DOUBLE / 100.0 END AS raw,
-         CASE WHEN key % 3 <> 0 THEN ((key * 13 + 13) % 100)::DOUBLE / 100.0 END AS npll, CASE WHEN key % 5 <> 0 THEN ((key * 29 + 29) % 100)::DOUBLE / 100.0 END AS calib FROM keyed""",
+         CASE WHEN key % 3 <> 0 THEN ((key * 13 + 13) % 100)::DOUBLE / 100.0 END AS posterior, CASE WHEN key % 5 <> 0 THEN ((key * 29 + 29) % 100)::DOUBLE / 100.0 END AS calib FROM keyed""",
 }
 NEEDS = {"membership": ["place"], "sales": ["place"], "bridges": ["sales"], "affinities": ["sales"], "communities": ["membership"], "keyed": ["edges"], "confidences": ["keyed"]}
 
