@@ -51,7 +51,7 @@ class Encoder:
     young half is full it becomes the old one, from which words that come again return.
     """
 
-    YOUNG, LONGEST = 500_000, 40
+    YOUNG, LONGEST = 300_000, 40
     #: Punctuation behind a letter and before white space, which a space may as well stand before.
     TAIL = r"([a-z\x{E0}-\x{F6}\x{F8}-\x{FF}])([[:punct:]]+)([ \n]|$)"
     ODD = re.compile("[\x1c-\x1f]")  # not white space to the tokenizer, but so to others
