@@ -5,9 +5,10 @@ from the documents whose hash lies under a threshold. The thresholds come from h
 source and hash bucket, then the boundary bucket of each source alone in finer buckets, and so on.
 No pass sorts documents, and what is grouped is bounded by sources x buckets.
 
-Edge cases: a null text has size 0 and a null source is a source of its own, last in order. Rows of
-equal hash (repeated rows) stand or fall together. A null doc_id is hashed as the empty string. An
-empty table gives an empty result. Extra columns are kept by ``mix`` and ignored by ``plan``.
+Edge cases: a null text has size 0 and a null source is a source of its own, last in order. A null
+doc_id is hashed as the empty string. Rows of one doc_id stand or fall together in ``plan``, as its SQL
+has it; in ``mix`` their texts and then their places tell them apart. An empty table gives an empty
+result. Extra columns are kept by ``mix`` and ignored by ``plan``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, cut, table, whole, words
+from .common import checked_broadcast, cut, fresh, table, whole, words
 
 #: Relative weights, dealt to the sources in order and repeated.
 WEIGHTS = (1, 2, 3)
@@ -31,6 +32,11 @@ def doc_hash(doc_id: Column) -> Column:
     return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, ALL_DIGITS)
 
 
+def row_hash(doc_id: Column, text: Column, place: Column) -> Column:
+    """``doc_hash``, then as many digits of the text and of the row's place: rows of one doc_id differ, and the order of others stays."""
+    return F.concat(doc_hash(doc_id), doc_hash(text), doc_hash(place))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """(source, source_size) to the same with ``target``: shares by weight, capped, excess reshared.
 
@@ -56,15 +62,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return filled.withColumn("level", level).select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(held * F.col("weight")).alias("target"))
 
 
-def _thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
+def _thresholds(docs: DataFrame, targets: DataFrame, all_digits: int = ALL_DIGITS) -> DataFrame:
     """For each source: hashes under ``below`` are taken; so is ``exact``, if that comes nearer.
 
-    ``docs``: source, hash, size. Level by level only the boundary cell of each source is resolved.
+    ``docs``: source, hash (of ``all_digits``), size. Level by level only the boundary cell of each source is resolved.
     """
     budget = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     edge = checked_broadcast(targets.filter("source_size > 0").select("source", budget.alias("left"), F.lit("").alias("cell")))
     inside = docs
-    for digits in range(DIGITS, ALL_DIGITS + 1, DIGITS):
+    for digits in range(DIGITS, all_digits + 1, DIGITS):
         cells = inside.groupBy("source", F.substring("hash", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         at = edge.select(F.col("source").alias("of"), F.col("cell").alias("within"), F.col("left").alias("left"))
         cells = cells.join(at, F.col("source").eqNullSafe(F.col("of")) & F.col("bucket").startswith(F.col("within"))).drop("of", "within")
@@ -80,7 +86,7 @@ def _thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
             .filter(F.col("cell").isNotNull())
         )
         edge = checked_broadcast(cut(edge))
-        if digits < ALL_DIGITS:
+        if digits < all_digits:
             if edge.filter("n > 1").isEmpty():
                 break
             inside = docs.join(edge.select(F.col("source").alias("of"), F.col("cell").alias("within")), F.col("source").eqNullSafe(F.col("of")) & F.col("hash").startswith(F.col("within")), "left_semi")
@@ -92,10 +98,10 @@ def _sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"), doc_hash(F.col("doc_id")).alias("hash"))
 
 
-def _rules(sized: DataFrame, weights, most: int) -> DataFrame:
+def _rules(sized: DataFrame, weights, most: int, all_digits: int = ALL_DIGITS) -> DataFrame:
     """rule_source, source_size, target, cell, with_cell: a row for each source."""
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    edges = _thresholds(sized.select("source", "hash", "size"), targets)
+    edges = _thresholds(sized.select("source", "hash", "size"), targets, all_digits)
     both = targets.join(edges.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
     return checked_broadcast(cut(both.select(F.col("source").alias("rule_source"), "source_size", "target", "cell", "with_cell")))
 
@@ -118,8 +124,12 @@ def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; its columns only."""
-    rules = _rules(cut(_sized(docs)), weights, most)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mixed_row"), F.col("source"), doc_hash(F.col("doc_id")).alias("hash"))
+    (place,) = fresh(docs, "place")
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    hashed = row_hash(F.col("doc_id"), F.col("text"), F.col(place))
+    sized = cut(placed.select("source", F.size(words(whole("text"))).cast("long").alias("size"), hashed.alias("hash")))
+    rules = _rules(sized, weights, most, 3 * ALL_DIGITS)
+    packed = placed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mixed_row"), F.col("source"), hashed.alias("hash"))
     taken = _copies(packed, rules, most).filter("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*[F.col("mixed_row").getField(c).alias(c) for c in docs.columns])
 
