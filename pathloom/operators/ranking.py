@@ -7,6 +7,7 @@ A step reads the scores of the last one more than once, so each is kept in the s
 from __future__ import annotations
 
 import atexit
+import itertools
 import shutil
 import tempfile
 
@@ -76,14 +77,14 @@ def power_ppr(start: DataFrame, transition: DataFrame, alpha: float, steps: int)
     return _summed(parts).withColumnRenamed("mass", "score")
 
 
-def push_ppr(start: DataFrame, edges: DataFrame, alpha: float = 0.15, eps: float = 1e-4, rounds: int = 20) -> DataFrame:
+def push_ppr(start: DataFrame, edges: DataFrame, alpha: float = 0.15, eps: float = 1e-4, rounds: int | None = 20) -> DataFrame:
     """id, score by local push: in each round only nodes whose residual per out-edge is over ``eps`` push.
 
-    Seeds always push once. A lower bound of the power form, within the residual that is left.
+    Seeds always push once; without ``rounds``, nodes push until none is hot. A lower bound of the power form, within the residual that is left.
     """
     degree, transition = cut(degrees(edges)), cut(uniform_transition(edges))
     done, residual = None, start
-    for k in range(rounds):
+    for k in itertools.count() if rounds is None else range(rounds):
         marked = residual.join(degree, "id", "left").withColumn("hot", (F.col("mass") / F.greatest(F.coalesce("degree", F.lit(0)), F.lit(1)) > eps) | F.lit(k == 0))
         marked = cut(marked.select("id", "mass", "hot"))
         hot = marked.filter("hot")

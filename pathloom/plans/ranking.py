@@ -53,10 +53,10 @@ def expected(s, d, steps=5):
 
 
 plain("mc_ppr_expected", "edges", f"WITH {_walks_sql(5)} SELECT id, round(mass / (SELECT sum(mass) FROM v), 9) AS score FROM v", lambda s, d: rounded(expected(s, d), "score"))
-plain("push_ppr", None, None, lambda s, d: ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, 8))
-plain("mixed_ppr", None, None, lambda s, d: ranking.mix(ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, 6), expected(s, d), 200))
-plain("find_anchors", None, None, lambda s, d: ranking.top(ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, 6), 20))
-plain("bippr", None, None, lambda s, d: ranking.bippr(start(s), ids(s, ["Nation/1", "Nation/2", "Region/1"]), D.edges(s, d), ALPHA, 1e-3, 4, 4))
+plain("push_ppr", None, None, lambda s, d: ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None))
+plain("mixed_ppr", None, None, lambda s, d: ranking.mix(ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None), expected(s, d, 40), 200))
+plain("find_anchors", None, None, lambda s, d: ranking.top(ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None), 20))
+plain("bippr", None, None, lambda s, d: ranking.bippr(start(s), ids(s, ["Nation/1", "Nation/2", "Region/1"]), D.edges(s, d), ALPHA))
 plain("walk_index_hits", None, None, lambda s, d: ranking.walk_hits(ranking.sampled_walks(ids(s, SEEDS), D.edges(s, d), 10, 6)))
 
 
