@@ -108,7 +108,7 @@ class GraphEngine:
         if "weight" not in edges.columns:
             edges = edges.withColumn("weight", F.lit(1.0))
         push = ranking.push_ppr(start, edges, params.alpha, params.eps, params.push_rounds)
-        walks = ranking.expected_walks(start, ranking.weighted_transition(edges), params.alpha, min(params.walk_length, 8))
+        walks = ranking.expected_walks(start, ranking.weighted_transition(edges), params.alpha, params.walk_length)
         ranks = ranking.cut(ranking.mix(push, walks, params.topn))
         found = paths.beam_search(self._confident(edges), self._ids(seeds), ranks, params.beam, as_of=self.as_of)
         scored = ranking.cut(scoring.score_paths(ranking.cut(paths.numbered(found)), ranks, g.bridges, g.membership, g.affinities, None, self.as_of, params.score))
