@@ -116,14 +116,21 @@ def corruptions(known: DataFrame, positives: DataFrame) -> DataFrame:
     return positives.join(tails, "rel").filter("tail <> dst").select("src", "rel", F.col("tail").alias("dst")).distinct().join(known, ["src", "rel", "dst"], "left_anti")
 
 
+def numbered(nodes: DataFrame, parts: int = 4096) -> DataFrame:
+    """``nodes`` (distinct id) with k from 0 on, each once: places within parts by hash, after the nodes of the parts before."""
+    dealt = nodes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
+    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
+    place = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
+    return dealt.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).cast("long").alias("k"))
+
+
 def negative_samples(known: DataFrame, positives: DataFrame, per_side: int = 4, seed: int = 42) -> DataFrame:
     """src, rel, dst: so many corrupted heads and tails of each positive, drawn by hash among the nodes, none known."""
-    order = W.orderBy("id")
     nodes = known.select(F.col("src").alias("id")).unionByName(known.select(F.col("dst").alias("id"))).distinct()
-    n = nodes.count()
-    numbered = nodes.withColumn("k", (F.row_number().over(order) - 1).cast("long")) if n <= 1_000_000 else nodes.withColumn("k", F.pmod(F.xxhash64("id"), F.lit(n)))
+    n, numbers = nodes.count(), numbered(nodes)
     draws = positives.withColumn("c", F.explode(F.sequence(F.lit(0), F.lit(2 * per_side - 1))))
-    draws = draws.withColumn("k", F.pmod(F.xxhash64("src", "rel", "dst", "c", F.lit(seed)), F.lit(max(n, 1)))).join(numbered, "k")
+    draws = draws.withColumn("k", F.pmod(F.xxhash64("src", "rel", "dst", "c", F.lit(seed)), F.lit(max(n, 1)))).join(numbers, "k")
     made = draws.select(F.when(F.col("c") < per_side, F.col("id")).otherwise(F.col("src")).alias("src"), "rel", F.when(F.col("c") < per_side, F.col("dst")).otherwise(F.col("id")).alias("dst"))
     return made.filter("src <> dst").distinct().join(known, ["src", "rel", "dst"], "left_anti")
 

@@ -82,7 +82,7 @@ def _odds(s, d):
 plain("mln_exact_partition", None, "WITH w AS (SELECT i, (i & 1) AS a, (i >> 1) & 1 AS b, (i >> 2) & 1 AS c FROM range(8) t(i)) SELECT round(ln(sum(exp(1.2 * CASE WHEN a = 1 AND b = 1 AND c = 0 THEN 0 ELSE 1 END + 0.4 * a))), 9) AS log_partition FROM w", lambda s, d: s.createDataFrame([(round(mln.exact_log_partition([1.2, 0.4], [([0, 1], 2), ([], 0)], 3), 9),)], "log_partition double"))
 plain("mln_log_prob", "edges", f"WITH {RULES} SELECT kind, round(sum(ln(1 + confidence) * support) - ln(sum(exp(least(confidence, 1)))), 6) AS log_prob FROM rules GROUP BY kind", lambda s, d: rules(s, d).groupBy("kind").agg(F.round(F.sum(F.log1p("confidence") * F.col("support")) - F.ln(F.sum(F.exp(F.least("confidence", F.lit(1.0))))), 6).alias("log_prob")))
 plain("all_corruptions", "edges", f"WITH {SMALL}, p AS (SELECT * FROM f WHERE rel = 'located_in' AND src LIKE 'Supplier/%'), t AS (SELECT DISTINCT rel, dst AS tail FROM f) SELECT DISTINCT src, rel, tail AS dst FROM p JOIN t USING (rel) WHERE tail <> dst EXCEPT SELECT * FROM f", lambda s, d: R.corruptions(small(s, d), small(s, d).filter("rel = 'located_in' AND src LIKE 'Supplier/%'")))
-plain("negative_samples", None, None, lambda s, d: R.negative_samples(small(s, d), small(s, d).filter("rel = 'located_in'"), 4))
+plain("negative_samples", None, None, lambda s, d: R.negative_samples(facts(s, d), facts(s, d), 4))
 
 
 # -- link prediction over located_in, scored by a rule on the ids
