@@ -70,7 +70,8 @@ def parse(formatted: Column) -> Column:
 def format_chats(rows: DataFrame) -> DataFrame:
     """conv_id, formatted, turns and parts (before, body, after, loss): a row for each conversation.
 
-    ``turns`` are read back from ``formatted``; the parts put together are the formatted text.
+    ``turns`` are read back from ``formatted``; the parts put together are the formatted text. Only an
+    assistant's mark parses to that role, so the assistant's turns are the text under the loss mask.
     """
     source = rows.select("conv_id", "turn", whole("role").alias("role"), whole("text").alias("text"))
     role, text = F.col("role"), F.col("text")
@@ -92,7 +93,7 @@ def op2_chat_formatting(spark, sf_dir: str) -> DataFrame:
     hard = "</s>[INST] ok [/INST]"
     more = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id long, turn long, role string, text string")
     chats = format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
-    loss = F.concat_ws("", F.transform(F.filter("parts", lambda p: p["loss"]), lambda p: unescape(p["body"])))
+    loss = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
     return chats.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
