@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,15 +45,25 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def checkpoint_folder(spark: SparkSession) -> None:
-    """Take the shared folder that the cluster names; make one only where none is set (tests)."""
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder that the cluster names. Where none is named a local session (tests) gets its own; a cluster raises."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             named = tempfile.mkdtemp(prefix="pathloom-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
+    return sc.getCheckpointDir()
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage is cut, and later reads take only the columns they need."""
+    path = f"{checkpoint_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -70,11 +81,12 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Bound what one Arrow batch of whole texts holds; a lower setting of the session stays."""
+def small_batches(spark: SparkSession, rows: int = 512, size: str = "64m") -> None:
+    """Bound what one Arrow batch of whole texts holds, in rows and bytes; a lower setting of the session stays."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
