@@ -1,17 +1,25 @@
 r"""Quality rules with adaptive thresholds; DataFrame functions only.
 
-Every document gets counts over its whole text (``measure``). Each rule is a rate per thousand words.
-The distribution of each rate is kept, by language and source, as a histogram sketch of one count per
-whole rate: sketches of parts merge by adding counts, and a quantile is off by less than one unit.
-A rule's threshold is a fence above the upper quartile of its group, so it adapts to what is usual
-there, and the verdict is a join of documents with the fences of their group.
+Every document gets counts over its whole text (``measure``): rates of symbols, repeated lines and
+repeated three-word windows per thousand words or lines, and the mean length of its words in
+hundredths. The distribution of each by language and source is kept as a histogram sketch: values
+share a cell if their leading ``CELL_BITS`` bits agree, so cells are few however large values are,
+sketches of parts merge by adding counts, and a quantile is off by less than one part in 64.
+
+A rule's threshold is a fence beyond the upper (or lower) quartile of its group, so many times the
+group's own spread away. The spread is the distance from median to quartile or, where that is less,
+what one event makes in the group's median document: a rate that is nearly always 0 has no other
+scale. Fences of a group are averaged with those of its language, which weighs as ``PRIOR``
+documents: few documents lean on their language, many don't, and no group size is a switch. The
+verdict joins documents with the fences of their group. All of it is in whole numbers.
 
 Fixed base rules come first: under 50 words, or over half of the words in repeated three-word windows.
 
 Edge cases: a null text has no words, so it fails the base; null lang or source is a group of its
-own; a group of few documents shares the fences of its language (then of all); repeated rows count
-as often as they occur; an empty table gives an empty result. Equal windows are found by a hash of
-over 40 bits that sorts them next to each other, then compared word by word.
+own; a group without a document that passes the base has no fences, and needs none; repeated rows
+count as often as they occur; long texts are measured whole, as arrays of their words; further
+columns, of any names, are kept; an empty table gives an empty result. Equal windows are found by a
+hash of over 40 bits that sorts them next to each other, then compared word by word.
 """
 
 from __future__ import annotations
@@ -20,18 +28,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, checked_broadcast, cut, fresh, let, table, whole, words
+from .common import SPACE, checked_broadcast, cut, fresh, let, table, whole, words, written
 
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
-#: Rules: rate per 1000 words or lines, with the least distance from upper quartile to fence.
-RATES = {"symbol_rate": 200, "dup_line_rate": 400, "repeat_rate": 250}
-#: A fence stands so many interquartile ranges above the upper quartile.
-REACH = 3
-#: Rates from here on share a cell of the sketch, so it is bounded.
-MOST_RATE = 5000
-#: Groups under so many documents take the fences of a wider one.
-LEAST_DOCS = 50
+#: Rules: how many spreads beyond the quartile a rate may lie.
+REACH = {"symbol_rate": 16, "dup_line_rate": 3, "repeat_rate": 120, "word_length": 16}
+#: What one event is measured against: words or lines of the median document.
+PER = {"symbol_rate": "n_words", "dup_line_rate": "n_lines", "repeat_rate": "n_words", "word_length": "n_words"}
+MEASURES = (*REACH, "n_words", "n_lines")
+#: Leading bits that a cell of the sketch keeps of a value.
+CELL_BITS = 7
+#: Documents that the fences of a language weigh as in those of a group.
+PRIOR = 25
 
 
 def _repeated_words(w: Column) -> Column:
@@ -84,7 +93,7 @@ def measure(docs: DataFrame, into: str = "quality") -> DataFrame:
     """``docs`` with a struct of the counts, the rates and ``base_failed``."""
     (c,) = fresh(docs, "counted")
     got, n = F.col(c), F.col(c)["words"]["n_words"]
-    rate = lambda x, of: F.when(of > 0, F.least(F.lit(MOST_RATE), F.floor(1000 * x / of))).otherwise(0).cast("int")
+    rate = lambda x, of, unit=1000: F.when(of > 0, F.floor(unit * x / of)).otherwise(0).cast("long")
     repeats, lines = got["words"]["n_repeat_words"], got["lines"]
     return (
         docs.withColumn(c, _counts(whole("text")))
@@ -94,11 +103,13 @@ def measure(docs: DataFrame, into: str = "quality") -> DataFrame:
                 n.alias("n_words"),
                 got["word_chars"].alias("word_chars"),
                 got["n_symbols"].alias("n_symbols"),
+                lines["n_lines"].alias("n_lines"),
                 lines["n_dup_lines"].alias("n_dup_lines"),
                 repeats.alias("n_repeat_words"),
                 rate(got["n_symbols"], n).alias("symbol_rate"),
                 rate(lines["n_dup_lines"], lines["n_lines"]).alias("dup_line_rate"),
                 rate(repeats, n).alias("repeat_rate"),
+                rate(got["word_chars"], n, 100).alias("word_length"),
                 ((n < LEAST_WORDS) | (100 * repeats > MOST_REPEATED * n)).alias("base_failed"),
             ),
         )
@@ -106,57 +117,66 @@ def measure(docs: DataFrame, into: str = "quality") -> DataFrame:
     )
 
 
+def _cell(value: Column) -> Column:
+    """The largest value that shares the leading bits of ``value``."""
+    shift = F.greatest(F.length(F.bin(value)) - CELL_BITS, F.lit(0)).cast("int")
+    return F.call_function("shiftleft", F.call_function("shiftright", value, shift) + 1, shift) - 1
+
+
 def sketches(measured: DataFrame, quality: str = "quality") -> DataFrame:
-    """lang, source, rule, value, n: merged histograms of the documents that pass the base."""
+    """lang, source, measure, cell, n: merged histograms of the documents that pass the base."""
     q = F.col(quality)
-    values = F.array(*[F.struct(F.lit(r).alias("rule"), q[r].alias("value")) for r in RATES])
-    # no filter, which the optimizer would move below the counts and count again for
-    long = measured.select("lang", "source", F.explode(F.when(~q["base_failed"], values).otherwise(F.slice(values, 1, 0))).alias("x"))
-    return long.groupBy("lang", "source", F.col("x.rule").alias("rule"), F.col("x.value").alias("value")).agg(F.count("*").alias("n"))
+    values = F.array(*[F.struct(F.lit(m).alias("measure"), _cell(q[m]).alias("cell")) for m in MEASURES])
+    long = measured.filter(~q["base_failed"]).select("lang", "source", F.explode(values).alias("x"))
+    return long.groupBy("lang", "source", F.col("x.measure").alias("measure"), F.col("x.cell").alias("cell")).agg(F.count("*").alias("n"))
+
+
+def _fences(cells: DataFrame, by: list[str]) -> DataFrame:
+    """docs, and above (and below, for the length of words) of each rule, for each group."""
+    part = W.partitionBy(*by, "measure")
+    placed = cells.withColumn("upto", F.sum("n").over(part.orderBy("cell"))).withColumn("all", F.sum("n").over(part))
+    quartile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("cell")))
+    per = placed.groupBy(*by, "measure").agg(F.max("all").alias("docs"), F.struct(quartile(1).alias("low"), quartile(2).alias("mid"), quartile(3).alias("high")).alias("q"))
+    one = per.groupBy(*by).agg(F.max("docs").alias("docs"), *[F.max(F.when(F.col("measure") == m, F.col("q"))).alias(m) for m in MEASURES])
+    out = []
+    for rule, reach in REACH.items():
+        q, of = F.col(rule), F.greatest(F.col(PER[rule])["mid"], F.lit(1))
+        least = F.floor(reach * q["mid"] / (4 * F.sqrt(of.cast("double")))) if rule == "word_length" else F.floor(F.lit(1000 * reach) / of)
+        out.append((q["high"] + F.greatest(reach * (q["high"] - q["mid"]), least)).alias(f"above_{rule}"))
+        if rule == "word_length":
+            out.append((q["low"] - F.greatest(reach * (q["mid"] - q["low"]), least)).alias(f"below_{rule}"))
+    return one.select(*by, "docs", *out)
 
 
-def _fences(cells: DataFrame, by: list[str], suffix: str) -> DataFrame:
-    """A row for each group with its documents and a fence for each rule."""
-    merged = cells.groupBy(*by, "rule", "value").agg(F.sum("n").alias("n"))
-    part = W.partitionBy(*by, "rule")
-    merged = merged.withColumn("upto", F.sum("n").over(part.orderBy("value"))).withColumn("all", F.sum("n").over(part))
-    quantile = lambda q: F.min(F.when(F.col("upto") * 4 >= F.col("all") * q, F.col("value")))
-    per_rule = merged.groupBy(*by, "rule").agg(quantile(1).alias("low"), quantile(3).alias("high"), F.max("all").alias("docs"))
-    least = F.element_at(F.create_map(*[F.lit(x) for kv in RATES.items() for x in kv]), F.col("rule"))
-    per_rule = per_rule.withColumn("fence", F.col("high") + F.greatest(least, REACH * (F.col("high") - F.col("low"))))
-    return per_rule.groupBy(*by).agg(F.max("docs").alias(f"docs{suffix}"), *[F.max(F.when(F.col("rule") == r, F.col("fence"))).alias(f"{r}{suffix}") for r in RATES])
+BOUNDS = (*[f"above_{r}" for r in REACH], "below_word_length")
 
 
 def thresholds(measured: DataFrame, quality: str = "quality") -> DataFrame:
-    """fence_lang, fence_source and a fence for each rule; a row for each group of documents."""
+    """fence_lang, fence_source, fence_weight and a bound for each rule, times the weight; a row for each group of documents."""
     cells = cut(sketches(measured, quality))
-    own, lang, every = _fences(cells, ["lang", "source"], "_own"), _fences(cells, ["lang"], "_lang"), _fences(cells.withColumn("one", F.lit(1)), ["one"], "_all").drop("one")
-    joined = own.join(lang.withColumnRenamed("lang", "of_lang"), own["lang"].eqNullSafe(F.col("of_lang"))).join(F.broadcast(every))  # of one row
-    pick = lambda r: F.when(F.col("docs_own") >= LEAST_DOCS, F.col(f"{r}_own")).when(F.col("docs_lang") >= LEAST_DOCS, F.col(f"{r}_lang")).otherwise(F.col(f"{r}_all"))
-    return cut(joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), *[pick(r).alias(f"fence_{r}") for r in RATES]))
+    lang = _fences(cells.groupBy("lang", "measure", "cell").agg(F.sum("n").alias("n")), ["lang"])
+    lang = lang.select(F.col("lang").alias("of_lang"), *[F.col(b).alias(f"{b}_lang") for b in BOUNDS])
+    joined = _fences(cells, ["lang", "source"]).join(checked_broadcast(cut(lang)), F.col("lang").eqNullSafe(F.col("of_lang")))
+    both = [(F.col("docs") * F.col(b) + PRIOR * F.col(f"{b}_lang")).alias(f"fence_{b}") for b in BOUNDS]
+    return cut(joined.select(F.col("lang").alias("fence_lang"), F.col("source").alias("fence_source"), (F.col("docs") + PRIOR).alias("fence_weight"), *both))
 
 
-def judge(measured: DataFrame, fences: DataFrame, quality: str = "quality") -> DataFrame:
-    """``measured`` with ``kept``: it passes the base and no rate is above the fence of its group."""
+def judge(measured: DataFrame, fences: DataFrame, quality: str = "quality", into: str = "kept") -> DataFrame:
+    """``measured`` with ``kept``: it passes the base and no measure is beyond a fence of its group."""
     q = F.col(quality)
     joined = measured.join(checked_broadcast(fences), measured["lang"].eqNullSafe(F.col("fence_lang")) & measured["source"].eqNullSafe(F.col("fence_source")), "left")
-    inside = F.lit(True)
-    for r in RATES:
-        inside = inside & (q[r] <= F.col(f"fence_{r}"))
-    (kept,) = fresh(measured, "kept")
-    return joined.withColumn(kept, ~q["base_failed"] & F.coalesce(inside, F.lit(False))).drop("fence_lang", "fence_source", *[f"fence_{r}" for r in RATES])
+    inside = q["word_length"] * F.col("fence_weight") >= F.col("fence_below_word_length")
+    for r in REACH:
+        inside = inside & (q[r] * F.col("fence_weight") <= F.col(f"fence_above_{r}"))
+    return joined.withColumn(into, ~q["base_failed"] & F.coalesce(inside, F.lit(False))).drop(*fences.columns)
 
 
 def filter_quality(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with its columns; texts are measured again rather than moved."""
-    (into,) = fresh(docs, "quality")
-    measured = measure(docs, into)
-    judged = judge(measured, thresholds(measured, into), into)
-    kept = next(c for c in reversed(judged.columns) if c.lstrip("_") == "kept")
-    # as an explode rather than a filter, which the optimizer would move below the counts and count again for
-    (once,) = fresh(judged, "once")
-    kept_rows = judged.withColumn(once, F.explode(F.when(F.col(kept), F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))))
-    return kept_rows.select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that are kept, with its columns. Texts are measured once, and written with their counts."""
+    into, kept = fresh(docs, "quality", "kept")
+    measured = written(measure(docs, into), "quality")
+    judged = judge(measured, thresholds(measured, into), into, kept)
+    return judged.filter(F.col(kept)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
@@ -190,32 +210,43 @@ WITH docs AS (
   FROM listed l LEFT JOIN repeated r USING (doc_id) LEFT JOIN lines USING (doc_id)
 ), rated AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-         CASE WHEN n_words > 0 THEN least(5000, 1000 * n_symbols // n_words) ELSE 0 END AS symbol_rate,
-         CASE WHEN n_lines > 0 THEN least(5000, 1000 * n_dup_lines // n_lines) ELSE 0 END AS dup_line_rate,
-         CASE WHEN n_words > 0 THEN least(5000, 1000 * n_repeat_words // n_words) ELSE 0 END AS repeat_rate
+         CASE WHEN n_words > 0 THEN 1000 * n_symbols // n_words ELSE 0 END AS symbol_rate,
+         CASE WHEN n_lines > 0 THEN 1000 * n_dup_lines // n_lines ELSE 0 END AS dup_line_rate,
+         CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS repeat_rate,
+         CASE WHEN n_words > 0 THEN 100 * word_chars // n_words ELSE 0 END AS word_length
   FROM counts
-), good AS (
-  SELECT * FROM rated WHERE NOT base_failed
-), own AS (
-  SELECT lang, source, count(*) AS docs, quantile_disc(symbol_rate, [0.25, 0.75]) AS s, quantile_disc(dup_line_rate, [0.25, 0.75]) AS d, quantile_disc(repeat_rate, [0.25, 0.75]) AS r
-  FROM good GROUP BY lang, source
-), bylang AS (
-  SELECT lang, count(*) AS docs, quantile_disc(symbol_rate, [0.25, 0.75]) AS s, quantile_disc(dup_line_rate, [0.25, 0.75]) AS d, quantile_disc(repeat_rate, [0.25, 0.75]) AS r
-  FROM good GROUP BY lang
-), every AS (
-  SELECT quantile_disc(symbol_rate, [0.25, 0.75]) AS s, quantile_disc(dup_line_rate, [0.25, 0.75]) AS d, quantile_disc(repeat_rate, [0.25, 0.75]) AS r
-  FROM good
+), long AS (
+  SELECT lang, source, measure, value FROM (
+    SELECT lang, source, unnest(['symbol_rate', 'dup_line_rate', 'repeat_rate', 'word_length', 'n_words', 'n_lines']) AS measure,
+           unnest([symbol_rate, dup_line_rate, repeat_rate, word_length, n_words, n_lines]) AS value
+    FROM rated WHERE NOT base_failed)
+), cells AS (
+  SELECT lang, source, measure, (((value >> s) + 1) << s) - 1 AS cell FROM (SELECT *, greatest(length(bin(value)) - 7, 0) AS s FROM long)
+), grouped AS (
+  SELECT 'own' AS level, lang, source, measure, cell FROM cells UNION ALL SELECT 'lang', lang, NULL, measure, cell FROM cells
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY level, lang, source, measure ORDER BY cell) AS k, count(*) OVER (PARTITION BY level, lang, source, measure) AS n FROM grouped
+), quartiles AS (
+  SELECT level, lang, source, measure, max(n) AS docs, min(cell) FILTER (WHERE 4 * k >= n) AS low, min(cell) FILTER (WHERE 4 * k >= 2 * n) AS mid, min(cell) FILTER (WHERE 4 * k >= 3 * n) AS high
+  FROM placed GROUP BY level, lang, source, measure
+), scales AS (
+  SELECT level, lang, source, max(docs) AS docs, greatest(max(mid) FILTER (WHERE measure = 'n_words'), 1) AS w, greatest(max(mid) FILTER (WHERE measure = 'n_lines'), 1) AS l
+  FROM quartiles GROUP BY level, lang, source
 ), fences AS (
-  SELECT o.lang, o.source,
-         CASE WHEN o.docs >= 50 THEN o.s WHEN l.docs >= 50 THEN l.s ELSE e.s END AS s,
-         CASE WHEN o.docs >= 50 THEN o.d WHEN l.docs >= 50 THEN l.d ELSE e.d END AS d,
-         CASE WHEN o.docs >= 50 THEN o.r WHEN l.docs >= 50 THEN l.r ELSE e.r END AS r
-  FROM own o JOIN bylang l ON o.lang IS NOT DISTINCT FROM l.lang, every e
+  SELECT s.level, s.lang, s.source, s.docs,
+         max(high + greatest(16 * (high - mid), 16000 // w)) FILTER (WHERE measure = 'symbol_rate') AS symbols,
+         max(high + greatest(3 * (high - mid), 3000 // l)) FILTER (WHERE measure = 'dup_line_rate') AS dups,
+         max(high + greatest(120 * (high - mid), 120000 // w)) FILTER (WHERE measure = 'repeat_rate') AS repeats,
+         max(high + greatest(16 * (high - mid), CAST(floor(16 * mid / (4 * sqrt(CAST(w AS DOUBLE)))) AS BIGINT))) FILTER (WHERE measure = 'word_length') AS longest,
+         max(low - greatest(16 * (mid - low), CAST(floor(16 * mid / (4 * sqrt(CAST(w AS DOUBLE)))) AS BIGINT))) FILTER (WHERE measure = 'word_length') AS shortest
+  FROM scales s JOIN quartiles q ON s.level = q.level AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source GROUP BY ALL
+), joined AS (
+  SELECT o.lang, o.source, o.docs + 25 AS n, o.docs * o.symbols + 25 * l.symbols AS symbols, o.docs * o.dups + 25 * l.dups AS dups,
+         o.docs * o.repeats + 25 * l.repeats AS repeats, o.docs * o.longest + 25 * l.longest AS longest, o.docs * o.shortest + 25 * l.shortest AS shortest
+  FROM fences o JOIN fences l ON o.level = 'own' AND l.level = 'lang' AND o.lang IS NOT DISTINCT FROM l.lang
 )
 SELECT q.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT base_failed AND coalesce(
-         symbol_rate <= f.s[2] + greatest(200, 3 * (f.s[2] - f.s[1])) AND
-         dup_line_rate <= f.d[2] + greatest(400, 3 * (f.d[2] - f.d[1])) AND
-         repeat_rate <= f.r[2] + greatest(250, 3 * (f.r[2] - f.r[1])), FALSE) AS kept
-FROM rated q LEFT JOIN fences f ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source
+       NOT base_failed AND coalesce(symbol_rate * n <= symbols AND dup_line_rate * n <= dups AND repeat_rate * n <= repeats
+         AND word_length * n <= longest AND word_length * n >= shortest, FALSE) AS kept
+FROM rated q LEFT JOIN joined f ON q.lang IS NOT DISTINCT FROM f.lang AND q.source IS NOT DISTINCT FROM f.source
 """
