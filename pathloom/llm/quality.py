@@ -33,7 +33,7 @@ from .common import SPACE, checked_broadcast, cut, fresh, let, table, whole, wor
 SYMBOLS = r"[#*$%&|<>]"
 LEAST_WORDS, MOST_REPEATED = 50, 50
 #: Rules: how many spreads beyond the quartile a rate may lie.
-REACH = {"symbol_rate": 16, "dup_line_rate": 3, "repeat_rate": 120, "word_length": 16}
+REACH = {"symbol_rate": 16, "dup_line_rate": 3, "repeat_rate": 120, "word_length": 24}
 #: What one event is measured against: words or lines of the median document.
 PER = {"symbol_rate": "n_words", "dup_line_rate": "n_lines", "repeat_rate": "n_words", "word_length": "n_words"}
 MEASURES = (*REACH, "n_words", "n_lines")
@@ -237,8 +237,8 @@ WITH docs AS (
          max(high + greatest(16 * (high - mid), 16000 // w)) FILTER (WHERE measure = 'symbol_rate') AS symbols,
          max(high + greatest(3 * (high - mid), 3000 // l)) FILTER (WHERE measure = 'dup_line_rate') AS dups,
          max(high + greatest(120 * (high - mid), 120000 // w)) FILTER (WHERE measure = 'repeat_rate') AS repeats,
-         max(high + greatest(16 * (high - mid), CAST(floor(16 * mid / (4 * sqrt(CAST(w AS DOUBLE)))) AS BIGINT))) FILTER (WHERE measure = 'word_length') AS longest,
-         max(low - greatest(16 * (mid - low), CAST(floor(16 * mid / (4 * sqrt(CAST(w AS DOUBLE)))) AS BIGINT))) FILTER (WHERE measure = 'word_length') AS shortest
+         max(high + greatest(24 * (high - mid), CAST(floor(24 * mid / (4 * sqrt(CAST(w AS DOUBLE)))) AS BIGINT))) FILTER (WHERE measure = 'word_length') AS longest,
+         max(low - greatest(24 * (mid - low), CAST(floor(24 * mid / (4 * sqrt(CAST(w AS DOUBLE)))) AS BIGINT))) FILTER (WHERE measure = 'word_length') AS shortest
   FROM scales s JOIN quartiles q ON s.level = q.level AND s.lang IS NOT DISTINCT FROM q.lang AND s.source IS NOT DISTINCT FROM q.source GROUP BY ALL
 ), joined AS (
   SELECT o.lang, o.source, o.docs + 25 AS n, o.docs * o.symbols + 25 * l.symbols AS symbols, o.docs * o.dups + 25 * l.dups AS dups,
