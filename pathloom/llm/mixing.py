@@ -6,9 +6,10 @@ source and hash bucket, then the boundary bucket of each source alone in finer b
 No pass sorts documents, and what is grouped is bounded by sources x buckets.
 
 Edge cases: a null text has size 0 and a null source is a source of its own, last in order. A null
-doc_id is hashed as the empty string. Rows of one doc_id stand or fall together in ``plan``, as its SQL
-has it; in ``mix`` their texts and then their places tell them apart. An empty table gives an empty
-result. Extra columns are kept by ``mix`` and ignored by ``plan``.
+doc_id is hashed as the empty string. Rows of one doc_id are told apart by their texts, and then by
+their places, so the boundary may fall among them. Long texts are counted whole. An empty table gives
+an empty result. Extra columns, of any names, are kept by ``mix`` and ignored by ``plan``. Place is
+that of a scan: the input should be read from files, not be shuffled.
 """
 
 from __future__ import annotations
@@ -23,13 +24,14 @@ from .common import checked_broadcast, cut, fresh, table, whole, words
 WEIGHTS = (1, 2, 3)
 #: A source, and a document, is taken so many times at most.
 MOST = 3
-#: Hash digits (hex) that one histogram resolves, and all that there are.
-DIGITS, ALL_DIGITS = 3, 15
+#: Hash digits (hex) that one histogram resolves, those of one hash, and all that there are.
+DIGITS, OF_ONE = 3, 15
+ALL_DIGITS = 3 * OF_ONE
 
 
 def doc_hash(doc_id: Column) -> Column:
     """60 bits as hex, the same in any SQL engine; cells of a histogram are prefixes."""
-    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, ALL_DIGITS)
+    return F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit(""))), 1, OF_ONE)
 
 
 def row_hash(doc_id: Column, text: Column, place: Column) -> Column:
@@ -62,15 +64,15 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     return filled.withColumn("level", level).select("source", "source_size", F.when(full, F.col("cap").cast("double")).otherwise(held * F.col("weight")).alias("target"))
 
 
-def _thresholds(docs: DataFrame, targets: DataFrame, all_digits: int = ALL_DIGITS) -> DataFrame:
+def _thresholds(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """For each source: hashes under ``below`` are taken; so is ``exact``, if that comes nearer.
 
-    ``docs``: source, hash (of ``all_digits``), size. Level by level only the boundary cell of each source is resolved.
+    ``docs``: source, hash, size. Level by level only the boundary cell of each source is resolved.
     """
     budget = F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")
     edge = checked_broadcast(targets.filter("source_size > 0").select("source", budget.alias("left"), F.lit("").alias("cell")))
     inside = docs
-    for digits in range(DIGITS, all_digits + 1, DIGITS):
+    for digits in range(DIGITS, ALL_DIGITS + 1, DIGITS):
         cells = inside.groupBy("source", F.substring("hash", 1, digits).alias("bucket")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
         at = edge.select(F.col("source").alias("of"), F.col("cell").alias("within"), F.col("left").alias("left"))
         cells = cells.join(at, F.col("source").eqNullSafe(F.col("of")) & F.col("bucket").startswith(F.col("within"))).drop("of", "within")
@@ -86,22 +88,28 @@ def _thresholds(docs: DataFrame, targets: DataFrame, all_digits: int = ALL_DIGIT
             .filter(F.col("cell").isNotNull())
         )
         edge = checked_broadcast(cut(edge))
-        if digits < all_digits:
+        if digits < ALL_DIGITS:
             if edge.filter("n > 1").isEmpty():
                 break
             inside = docs.join(edge.select(F.col("source").alias("of"), F.col("cell").alias("within")), F.col("source").eqNullSafe(F.col("of")) & F.col("hash").startswith(F.col("within")), "left_semi")
-    # the last cell is one document (or rows of one hash): take it if the total comes nearer so
+    # the last cell is one document: take it if the total comes nearer so
     return edge.select("source", "cell", (F.abs(F.col("words") - F.col("left")) < F.col("left")).alias("with_cell"))
 
 
-def _sized(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "source", F.size(words(whole("text"))).cast("long").alias("size"), doc_hash(F.col("doc_id")).alias("hash"))
+def _sized(docs: DataFrame, place: str, *keep: str) -> DataFrame:
+    """The columns ``keep`` of ``docs``, source, size and hash."""
+    return docs.select(*keep, "source", F.size(words(whole("text"))).cast("long").alias("size"), row_hash(F.col("doc_id"), F.col("text"), F.col(place)).alias("hash"))
 
 
-def _rules(sized: DataFrame, weights, most: int, all_digits: int = ALL_DIGITS) -> DataFrame:
+def _placed(docs: DataFrame) -> tuple[DataFrame, str]:
+    (place,) = fresh(docs, "place")
+    return docs.withColumn(place, F.monotonically_increasing_id()), place
+
+
+def _rules(sized: DataFrame, weights, most: int) -> DataFrame:
     """rule_source, source_size, target, cell, with_cell: a row for each source."""
     targets = cut(source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    edges = _thresholds(sized.select("source", "hash", "size"), targets, all_digits)
+    edges = _thresholds(sized.select("source", "hash", "size"), targets)
     both = targets.join(edges.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")), "left")
     return checked_broadcast(cut(both.select(F.col("source").alias("rule_source"), "source_size", "target", "cell", "with_cell")))
 
@@ -118,17 +126,15 @@ def _copies(rows: DataFrame, rules: DataFrame, most: int) -> DataFrame:
 
 def plan(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """doc_id, source, size, source_size, target, copies of every row of ``docs``."""
-    sized = cut(_sized(docs))
+    sized = cut(_sized(*_placed(docs), "doc_id"))
     return _copies(sized, _rules(sized, weights, most), most).select("doc_id", "source", "size", "source_size", "target", "copies")
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFrame:
     """``docs`` with each row repeated as often as the mix takes it; its columns only."""
-    (place,) = fresh(docs, "place")
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    placed, place = _placed(docs)
+    rules = _rules(cut(_sized(placed, place)), weights, most)
     hashed = row_hash(F.col("doc_id"), F.col("text"), F.col(place))
-    sized = cut(placed.select("source", F.size(words(whole("text"))).cast("long").alias("size"), hashed.alias("hash")))
-    rules = _rules(sized, weights, most, 3 * ALL_DIGITS)
     packed = placed.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mixed_row"), F.col("source"), hashed.alias("hash"))
     taken = _copies(packed, rules, most).filter("copies > 0").withColumn("again", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     return taken.select(*[F.col("mixed_row").getField(c).alias(c) for c in docs.columns])
@@ -142,7 +148,7 @@ def op5_mixing(spark, sf_dir: str) -> DataFrame:
 SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
-         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS hash
+         substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) || substr(md5(coalesce(text, '')), 1, 15) AS hash
   FROM documents
 ), per AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source
@@ -166,14 +172,13 @@ WITH sized AS (
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
 ), summed AS (
   SELECT *, target - once * source_size AS budget,
-         sum(size) OVER (PARTITION BY source ORDER BY hash RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
-         sum(size) OVER (PARTITION BY source, hash) AS tied
+         sum(size) OVER (PARTITION BY source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
   FROM joined
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(size * least(3, once + CASE
          WHEN upto <= budget THEN 1
-         WHEN upto - tied <= budget AND abs(tied - (budget - (upto - tied))) < budget - (upto - tied) THEN 1
+         WHEN upto - size <= budget AND abs(size - (budget - (upto - size))) < budget - (upto - size) THEN 1
          ELSE 0 END) AS BIGINT) AS taken
 FROM summed
 """
