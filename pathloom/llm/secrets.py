@@ -9,7 +9,8 @@ is added to the spans. Only hashes are grouped, after a distinct by hash and sou
 
 Edge cases: a null text is empty and a null source is an owner of its own; rows are told apart by
 their place, so repeated rows and null ids each get their spans; no match gives zero counts, the hash
-of the empty string and empty spans; an empty table gives an empty result; extra columns of any name
+of the empty string and empty spans; long texts are searched whole, and what their matches cost grows
+as their number to the power of 1.5; an empty table gives an empty result; extra columns of any name
 are kept by ``redact``. Place is that of a scan: the input should be read from files, not be shuffled.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, let, table, whole
+from .common import cut, let, table, whole, written
 
 #: Kinds in their order, their patterns, and the least length of group 1 (or of the match).
 ASSIGN = r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -84,21 +85,31 @@ def candidates(text: Column) -> Column:
     return F.sort_array(let(base, both))
 
 
-def find_secrets(docs: DataFrame, *keep: str) -> DataFrame:
-    """place, the columns ``keep`` and spans of every row of ``docs`` with a candidate.
-
-    spans: start, kind, end, repositories, owners, verdict (base, live or copied).
-    """
+def _found(docs: DataFrame, *keep: str | Column) -> DataFrame:
+    """place, ``keep``, repository and found (start, kind, end, hash of the value) of every row of ``docs``."""
     found = docs.select(F.monotonically_increasing_id().alias("place"), *keep, F.col("source").alias("repository"), candidates(whole("text")).alias("found"))
     hashed = F.transform("found", lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), F.sha2(m["value"], 256).alias("hash")))
-    rows = cut(found.filter(F.size("found") > 0).withColumn("found", hashed))
+    return found.withColumn("found", hashed)
+
+
+def _told(rows: DataFrame) -> DataFrame:
+    """of_place and spans: the candidates of ``rows`` (place, repository, found) with their owners and verdict."""
     each = rows.select("place", "repository", F.explode("found").alias("m")).select("place", "repository", "m.*")
     by_source = each.select("hash", F.coalesce("repository", F.lit("")).alias("repository"), F.col("repository").isNull().alias("nobody")).distinct()
     owned = by_source.withColumn("owner", F.substring_index("repository", "/", 1))
     owners = owned.groupBy("hash").agg(F.count("*").alias("repositories"), F.count_distinct("owner", "nobody").alias("owners")).withColumnRenamed("hash", "of_hash")
     verdict = F.when(F.col("kind") < KINDS.index("key"), "base").when(F.col("owners") <= COPIED, "live").otherwise("copied")
     told = each.join(owners, each["hash"] == owners["of_hash"]).select("place", F.struct("start", "kind", "end", "repositories", "owners", verdict.alias("verdict")).alias("span"))
-    spans = told.groupBy("place").agg(F.sort_array(F.collect_list("span")).alias("spans")).withColumnRenamed("place", "of_place")
+    return told.groupBy("place").agg(F.sort_array(F.collect_list("span")).alias("spans")).withColumnRenamed("place", "of_place")
+
+
+def find_secrets(docs: DataFrame, *keep: str) -> DataFrame:
+    """place, the columns ``keep`` and spans of every row of ``docs`` with a candidate.
+
+    spans: start, kind, end, repositories, owners, verdict (base, live or copied).
+    """
+    rows = cut(_found(docs, *keep).filter(F.size("found") > 0))
+    spans = _told(rows)
     return rows.join(spans, rows["place"] == spans["of_place"]).select("place", *keep, "spans")
 
 
@@ -110,15 +121,11 @@ def _shown(spans: Column) -> Column:
 def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
     """``docs`` with base and live secrets in its texts replaced by ``mark``; its rows and columns.
 
-    Only texts with candidates are shuffled, to meet their spans.
+    Texts are searched once, and written with what was found; only those with candidates are shuffled.
     """
-    place, row, kinds = fresh(docs, "place", "row", "any_kind")
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
-    has = F.lit(False)
-    for pattern in (ASSIGN, ACCESS, HEX, KEY):
-        has = has | whole("text").rlike(pattern)
-    spans = find_secrets(docs).select(F.col("place").alias(kinds), F.filter("spans", lambda s: s["verdict"] != "copied").alias("spans"))
-    packed = placed.filter(has).select(F.col(place).alias("place"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(row))
+    found = written(_found(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept_row")), "secrets")
+    some = found.filter(F.size("found") > 0)
+    spans = _told(some.select("place", "repository", "found")).withColumn("spans", F.filter("spans", lambda s: s["verdict"] != "copied"))
 
     def cleaned(text: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.lit("").alias("done"))
@@ -131,11 +138,11 @@ def redact(docs: DataFrame, mark: str = MARK) -> DataFrame:
 
         return F.aggregate("spans", start, step, lambda acc: F.concat(acc["done"], F.substring(text, acc["at"] + 1, F.greatest(F.lit(0), F.char_length(text) - acc["at"]))))
 
-    text = F.col(row).getField("text")
-    joined = packed.join(spans, packed["place"] == spans[kinds], "left")
+    text = F.col("kept_row").getField("text")
+    joined = some.select("place", "kept_row").join(spans, F.col("place") == F.col("of_place"))
     new = F.when(F.size("spans") > 0, cleaned(whole(text))).otherwise(text)
-    with_some = joined.select(*[new.alias(c) if c == "text" else F.col(row).getField(c).alias(c) for c in docs.columns])
-    return docs.filter(~has).unionByName(with_some)
+    with_some = joined.select(*[new.alias(c) if c == "text" else F.col("kept_row").getField(c).alias(c) for c in docs.columns])
+    return found.filter(F.size("found") == 0).select(*[F.col("kept_row").getField(c).alias(c) for c in docs.columns]).unionByName(with_some)
 
 
 def op6_secret_scans(spark, sf_dir: str) -> DataFrame:

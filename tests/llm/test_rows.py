@@ -171,6 +171,12 @@ def test_html_articles_whole(spark):
         assert r["text"] == "\n\n".join(p for p in parts if p) and r["n_chars"] == len(r["text"])
 
 
+def test_more_matches_of_a_long_text(spark):
+    text = "ab " + "token=abcdefg, é" * 12_000
+    df = spark.createDataFrame([(1, text, "s", "x")], "doc_id long, text string, source string, kept_row string")
+    assert secrets.redact(df).first()["text"] == "ab " + "[SECRET], é" * 12_000
+
+
 @pytest.mark.parametrize("size", [8192, 40])
 def test_top_k_against_brute_force(spark, tmp_path, size):
     rng = np.random.default_rng(5)
