@@ -161,6 +161,37 @@ def test_html():
     assert html.main_text(bare, tree) == ("word " * 60).strip() + "\n\n" + ("more " * 40).strip()
 
 
+LONG = ["The " + "quick brown fox jumps over a lazy dog and " * 8 + "ends.", "Then " + "nothing else of any note happened there " * 6 + "at all."]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<body class="page has-sidebar">{}</body>',
+        '<article class="post ad-free">{}</article>',
+        '<article class="hentry category-social">{}</article>',
+        '<body class="single no-sidebar"><div class="layout-sidebar-right">{}</div><div class="sidebar"><h3>More</h3><p>Something else to read here</p></div></body>',
+        '<form method=post>{}<input type=submit></form>',
+        '<html class="js no-comments"><main class="social">{}</main><footer>Us</footer></html>',
+        '<body><nav><a href=1>One</a></nav><div class="main-content">{}</div><div id="comments"><p>I liked this text a lot and want to say so here today</p></div></body>',
+    ],
+)
+def test_html_names_on_wrappers_drop_nothing(page):
+    tree = html.grow(list(html.LABELLED))
+    assert html.main_text(page.format("".join(f"<p>{p}</p>" for p in LONG)), tree) == "\n\n".join(LONG)
+
+
+def test_html_tables(spark):
+    schema = "page_id long, url string, html string, text string, n_chars string, HTML_2 int"
+    long = "<article>" + "<p>" + "some words of a long page " * 30_000 + "</p>" * 2 + "<p>x</p>" * 20_000 + "</article>"
+    rows = [(1, "u", "<p>" + LONG[0], "t", "n", 1), (1, "u", "<p>" + LONG[0], "t", "n", 1), (None, None, None, None, None, None), (2, "v", "", "t", "n", 1), (3, "w", long, "", "", 0)]
+    df = spark.createDataFrame(rows, schema)
+    got = sorted(((r["page_id"] or 0, r["url"], r["text"]) for r in html.extract(df).collect()), key=str)
+    assert got[:4] == [(0, None, ""), (1, "u", LONG[0]), (1, "u", LONG[0]), (2, "v", "")]
+    assert got[4][2] == ("some words of a long page " * 30_000).strip() + "\n\nx" * 20_000
+    assert html.extract(df.limit(0)).count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 def test_html_articles_whole(spark):
     from html import unescape
