@@ -8,8 +8,9 @@ over the free room of the sequences finds in logarithmic time. Sequences that st
 and the end of the group goes into sequences whose lengths are powers of two, which aren't padded.
 
 Edge cases: a null or empty text is the end id alone; repeated rows and null ids are packed like any
-other, as groups are dealt by id and place, so that no id gathers in one; an empty table gives an
-empty result; further columns are ignored. A group holds some ``GROUP`` pieces, however many
+other, as groups are dealt by id and place, so that no id gathers in one, and the pieces of a row
+carry its place (``row``), which tells copies apart; a long text is tokenized whole and leaves in
+pieces; an empty table gives an empty result; further columns, of any names, are ignored. A group holds some ``GROUP`` pieces, however many
 documents there are.
 """
 
@@ -39,8 +40,8 @@ GROUP = 4096
 SLACK = 4
 VOCABULARY = "word_bpe_49k.json"
 
-PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-_ROWS = "pack_group long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
+PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, row long"
+_ROWS = "pack_group long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, row long, ids binary"
 
 
 class Encoder:
@@ -162,20 +163,20 @@ def _tokenized(groups: int, length: int, path: str | None):
     schema = pa.schema([(n, pa.binary() if t == "binary" else pa.int64()) for n, t in (c.split() for c in _ROWS.split(", "))])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, place = encoder(path), 0
+        own = encoder(path)
         gc.disable()  # the memo is large, and no cycles are made here
         end = np.array([END_ID], own.kind)
         for batch in batches:
             rows: list[tuple] = []
             every, ends = own.encode([t or "" for t in batch.column(1).to_pylist()])
-            for doc, a, z in zip(batch.column(0).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
-                ids, place = np.concatenate([every[a:z], end]), place + 1
+            for doc, place, a, z in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), [0, *ends.tolist()], ends.tolist(), strict=False):
+                ids = np.concatenate([every[a:z], end])
                 n = len(ids)
                 group = _mixed(_mixed(doc or 0) + place) % groups
                 whole = n // length * length
-                rows += [(group, doc, at, length, crc(ids[at : at + length]), n, None) for at in range(0, whole, length)]
+                rows += [(group, doc, at, length, crc(ids[at : at + length]), n, place, None) for at in range(0, whole, length)]
                 if whole < n:
-                    rows.append((group, doc, whole, n - whole, crc(ids[whole:]), n, ids[whole:].tobytes()))
+                    rows.append((group, doc, whole, n - whole, crc(ids[whole:]), n, place, ids[whole:].tobytes()))
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema], schema=schema)
 
     return run
@@ -221,11 +222,11 @@ def _packed(length: int, slack: int):
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         group = key[0].as_py()
-        pieces = sorted(rows.drop_columns(["pack_group"]).to_pylist(), key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"]))
+        pieces = sorted(rows.drop_columns(["pack_group"]).to_pylist(), key=lambda r: (-r["length"], r["doc_id"] is None, r["doc_id"] or 0, r["start"], r["ids_crc32"], r["row"]))
         out, used = [], 0
 
         def put(p: dict, start: int, n: int, value: int, sequence: int, offset: int) -> None:
-            out.append((p["doc_id"], p["start"] + start, n, value, p["doc_tokens"], (group << 32) + sequence, offset))
+            out.append((p["doc_id"], p["start"] + start, n, value, p["doc_tokens"], (group << 32) + sequence, offset, p["row"]))
 
         whole = [p for p in pieces if p["ids"] is None]
         for p in whole:
@@ -264,7 +265,7 @@ def pack(docs: DataFrame, length: int = LENGTH, group: int = GROUP, slack: int =
     spark = docs.sparkSession
     small_batches(spark, 1024)
     groups = max(1, -(-docs.count() // group))
-    rows = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_tokenized(groups, length, vocabulary), _ROWS)
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id()).mapInArrow(_tokenized(groups, length, vocabulary), _ROWS)
     return rows.groupBy("pack_group").applyInArrow(_packed(length, slack), PIECES)
 
 

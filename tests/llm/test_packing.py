@@ -54,6 +54,10 @@ def test_first_fit_decreasing(seed):
 def test_each_id_is_packed_once(spark, tokenizer, tmp_path):
     rows = [*corpus(), *[(1000 + k, t, "en", "s", 0) for k, t in enumerate(ODD)]]
     got = packing.pack(frame(spark, rows, folder=tmp_path / "d"), group=20).toPandas()
+    for _, own in got.groupby("row"):  # the pieces of one row, whatever its id
+        own = own.sort_values("start")
+        assert (own["start"].to_numpy() == own["length"].cumsum().to_numpy() - own["length"].to_numpy()).all() and own["length"].sum() == own["doc_tokens"].iloc[0]
+    assert got["row"].nunique() == len(rows)
     texts = {}
     for r in rows:
         texts.setdefault(r[0], []).append(ids(tokenizer, r[1]))
