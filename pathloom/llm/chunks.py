@@ -6,7 +6,8 @@ chunk is made again from the same rows when answers arrive, so an answer may be
 each hash that was sent, in the order of sending. Buckets hold equal shares of all hashes, and a
 chunk sends a hash once however often it has it, so no hash gathers rows in one task.
 
-Places are those of a scan: the input should be read from files, not be shuffled.
+A chunk is ``ROWS`` rows, or one row of over ``LONG`` bytes, so what a task holds at once is bounded but
+for a single text. Places are those of a scan: the input should be read from files, not be shuffled.
 """
 
 from __future__ import annotations
@@ -19,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS = 128
+LONG = 1 << 20
 #: Ids are compared as they are; a null one is larger than any.
 NO_ID = np.iinfo(np.int64).max
 
 
-def chunked(docs: DataFrame, rows: int = ROWS) -> DataFrame:
-    """chunk, place, doc_id, text."""
+def chunked(docs: DataFrame, rows: int = ROWS, long: int = LONG) -> DataFrame:
+    """chunk, place, doc_id, text; long rows have negative chunks."""
     place = F.monotonically_increasing_id()
-    return docs.select(F.floor(place / rows).cast("long").alias("chunk"), place.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    chunk = F.when(F.octet_length("text") > long, -1 - place).otherwise(F.floor(place / rows))
+    return docs.select(chunk.cast("long").alias("chunk"), place.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
 class Docs:
@@ -60,7 +63,7 @@ def by_chunk(batches: Iterable[pa.RecordBatch], work: Callable[[int, Docs], Iter
     """``work`` on each chunk of a scan, where its rows follow each other."""
     held: list[pa.RecordBatch] = []
 
-    def done() -> Iterator[pa.RecordBatch]:
+    def done(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(held)
         yield record(list(work(rows.column("chunk")[0].as_py(), Docs(rows))), schema)
 
@@ -68,12 +71,15 @@ def by_chunk(batches: Iterable[pa.RecordBatch], work: Callable[[int, Docs], Iter
         ids = batch.column(0).to_numpy()
         cuts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)] if len(ids) else [0]
         for a, b in zip(cuts, cuts[1:], strict=False):
+            if ids[a] < 0:  # long rows stand alone, within the chunk of others
+                yield from done([batch.slice(a, b - a)])
+                continue
             if held and held[-1].column(0)[0].as_py() != ids[a]:
-                yield from done()
+                yield from done(held)
                 held = []
             held.append(batch.slice(a, b - a))
     if held:
-        yield from done()
+        yield from done(held)
 
 
 def record(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:

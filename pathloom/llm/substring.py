@@ -7,7 +7,8 @@ extended: each gets a 96-bit hash of its words, and one that a document of small
 repeat; the words that repeats cover are the maximal exact repeats, and go.
 
 Edge cases: a null or empty text has no words; rows of equal doc_id don't remove from each other; a
-null doc_id is larger than any id; empty tables give empty results; further columns are ignored.
+null doc_id is larger than any id; a long text is a chunk alone, whole; empty tables give empty
+results; further columns, of any names, are ignored.
 Blocks are told apart by some 40 bits, which may only give hits too many.
 """
 

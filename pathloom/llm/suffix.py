@@ -15,8 +15,8 @@ An anchor with over ``GROUP`` occurrences isn't gathered: its windows are hashed
 once by each chunk, and counted by hash. So nothing is dropped and no group is unbounded.
 
 Edge cases: a null or empty text is no bytes; matches may overlap and may lie in one document; rows
-of equal doc_id are documents of their own; empty tables give empty results; further columns are
-ignored. Texts of any length are read in segments.
+of equal doc_id, or of none, are documents of their own; empty tables give empty results; further
+columns, of any names, are ignored. Texts of any length are read in segments; a long one is a chunk alone.
 """
 
 from __future__ import annotations

@@ -50,7 +50,7 @@ def shown(df):
 def test_bytes_against_brute_force(spark, tmp_path, monkeypatch, length, gram, group, rows_of_chunk, segment):
     rows = corpus(seed=length)
     docs = frame(spark, rows, folder=tmp_path / "d")
-    monkeypatch.setattr(chunks.chunked, "__defaults__", (rows_of_chunk,))
+    monkeypatch.setattr(chunks.chunked, "__defaults__", (rows_of_chunk, 1 << 20 if rows_of_chunk > 5 else 1000))
     assert shown(suffix.dedup_suffixes(docs, length, gram, group, segment)) == plain_bytes(rows, length)
 
 
@@ -84,7 +84,7 @@ def test_intervals_are_those_of_the_tree():
 def test_words_against_brute_force(spark, tmp_path, monkeypatch, window, rows_of_chunk):
     rows = corpus(seed=window)
     docs = frame(spark, rows, folder=tmp_path / "d")
-    monkeypatch.setattr(chunks.chunked, "__defaults__", (rows_of_chunk,))
+    monkeypatch.setattr(chunks.chunked, "__defaults__", (rows_of_chunk, 1 << 20 if rows_of_chunk > 5 else 1000))
     assert shown(substring.dedup_substrings(docs, window)) == plain_words(rows, window)
 
 
