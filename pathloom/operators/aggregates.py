@@ -11,7 +11,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clamp, geometric_mean, past_days
+from ..sources.shared import written
 from .graph import keep_relation
+from .numbering import coded
+from .rules import closed_chains
 
 
 def kept_edges(edges: DataFrame) -> DataFrame:
@@ -126,14 +129,18 @@ def triage(edges: DataFrame, as_of: str, priors: DataFrame | None = None, baseli
     return one.withColumn("triage", score)
 
 
-def wedges_and_triads(edges: DataFrame, relations: tuple[str, ...] = ()) -> DataFrame:
-    """One row: paths of two steps over distinct nodes, how many are closed, and the rate."""
+def wedges_and_triads(edges: DataFrame, relations: tuple[str, ...] = (), coding: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """One row: paths of two steps over distinct nodes, how many are closed, and the rate. ``coding``: ``coded(edges)``, if it is at hand."""
     if relations:
         edges = edges.filter(F.col("rel").isin(*relations))
-    pairs = edges.select("src", "dst").filter("src <> dst").distinct()
-    first, second = pairs.select(F.col("src").alias("u"), F.col("dst").alias("v")), pairs.select(F.col("src").alias("v"), F.col("dst").alias("w"))
-    # ends are counted before they meet their closing edge, so a hub's wedges aren't carried one by one
-    ends = first.join(second, "v").filter("u <> w").groupBy("u", "w").agg(F.count("*").alias("n"))
-    closed = ends.join(pairs.select(F.col("src").alias("u"), F.col("dst").alias("w"), F.lit(1).alias("c")), ["u", "w"], "left")
-    one = closed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("wedges"), F.coalesce(F.sum(F.when(F.col("c") == 1, F.col("n"))), F.lit(0)).alias("triads"))
+    known, rels = coded(edges.filter("src <> dst")) if coding is None else coding
+    if coding is not None and relations:
+        known = known.join(F.broadcast(rels.filter(F.col("rel").isin(*relations))), "r", "left_semi")
+    pairs = written(known.filter("s <> d").select("s", F.lit(0).cast("long").alias("r"), "d").distinct())
+    # a wedge is an edge in and one out of its middle, less those that go back; none is made
+    ins, outs = pairs.groupBy(F.col("d").alias("v")).agg(F.count("*").alias("n_in")), pairs.groupBy(F.col("s").alias("v")).agg(F.count("*").alias("n_out"))
+    through = ins.join(outs, "v").agg(F.coalesce(F.sum(F.col("n_in") * F.col("n_out")), F.lit(0)).alias("through"))
+    back = pairs.join(pairs.select(F.col("s").alias("d"), F.col("d").alias("s")), ["s", "d"], "left_semi").agg(F.count("*").alias("back"))
+    closed = closed_chains(pairs).agg(F.coalesce(F.sum("support"), F.lit(0)).alias("triads"))
+    one = through.join(F.broadcast(back)).join(F.broadcast(closed)).select((F.col("through") - F.col("back")).alias("wedges"), "triads")  # one row each
     return one.withColumn("closure", F.when(F.col("wedges") > 0, F.col("triads") / F.col("wedges")).otherwise(0.0))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..config import BeamParams
 from ..functions.scalars import age_days, safe_ln
+from ..sources.shared import checked_broadcast, cut
 
 
 def default_confidence(edges: DataFrame, value: float = 0.8) -> DataFrame:
@@ -17,9 +18,9 @@ def default_confidence(edges: DataFrame, value: float = 0.8) -> DataFrame:
 def beam_search(edges: DataFrame, seeds: DataFrame, scores: DataFrame, params: BeamParams = BeamParams(), priors: DataFrame | None = None, as_of: str | None = None) -> DataFrame:
     """hop, score, nodes, edges: the kept paths of every hop, best first.
 
-    ``edges`` carry ``confidence``. A hop joins the frontier, at most ``beam_width`` rows, with edges:
-    the frontier is broadcast, as its size is bounded. Scores are rounded so that ties are the same
-    everywhere, and ties go by nodes and edge ids.
+    ``edges`` carry ``confidence``. A hop joins the frontier, at most ``beam_width`` rows and cut off
+    from its lineage, with edges. Frontier, seeds and scores are broadcast if they are counted to be
+    few. Scores are rounded so that ties are the same everywhere, and ties go by nodes and edge ids.
     """
     by_rank, by_prior, by_confidence, by_recency = params.lambdas
     if params.allowed_relations:
@@ -35,15 +36,15 @@ def beam_search(edges: DataFrame, seeds: DataFrame, scores: DataFrame, params: B
     if as_of is not None:
         step = step + by_recency * F.coalesce(-F.greatest(age_days(F.col("created_at"), as_of), F.lit(0.0)) / 90.0, F.lit(0.0))
     moves = edges.select("src", F.col("dst").alias("next"), F.struct("edge_id", "src", "rel", "dst", "confidence", "created_at").alias("edge"), step.alias("step"))
-    ranks = scores.select(F.col("id").alias("next"), "score")
+    ranks = checked_broadcast(cut(scores.select(F.col("id").alias("next"), "score")))
     frontier = seeds.select("id").distinct().select(F.lit(0.0).alias("total"), F.array("id").alias("nodes"), F.array().cast(f"array<{moves.schema['edge'].dataType.simpleString()}>").alias("edges"))
-    out = None
+    frontier, out = cut(frontier), None
     for hop in range(1, params.hop_limit + 1):
-        tail = F.broadcast(frontier.withColumn("src", F.element_at("nodes", -1)))
+        tail = checked_broadcast(frontier.withColumn("src", F.element_at("nodes", -1)))
         grown = moves.join(tail, "src").filter(~F.array_contains("nodes", F.col("next")))
-        ranked = grown.join(F.broadcast(ranks), "next", "left").withColumn("total", F.round(F.col("total") + by_rank * safe_ln(F.coalesce("score", F.lit(0.0))) + F.col("step"), 9))
+        ranked = grown.join(ranks, "next", "left").withColumn("total", F.round(F.col("total") + by_rank * safe_ln(F.coalesce("score", F.lit(0.0))) + F.col("step"), 9))
         extended = ranked.select("total", F.concat("nodes", F.array("next")).alias("nodes"), F.concat("edges", F.array("edge")).alias("edges"))
-        frontier = extended.orderBy(F.col("total").desc(), "nodes", F.transform("edges", lambda e: e["edge_id"])).limit(params.beam_width)
+        frontier = cut(extended.orderBy(F.col("total").desc(), "nodes", F.transform("edges", lambda e: e["edge_id"])).limit(params.beam_width))
         kept = frontier.withColumn("hop", F.lit(hop))
         out = kept if out is None else out.unionByName(kept)
     return out.orderBy(F.col("total").desc(), "nodes", F.transform("edges", lambda e: e["edge_id"])).limit(params.max_paths).select("hop", F.col("total").alias("score"), "nodes", "edges")

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import checked_broadcast, cut, written
+from .numbering import coded, numbered, places
+
 
 def facts(triples: DataFrame) -> DataFrame:
     return triples.select("src", "rel", "dst").dropDuplicates()
@@ -21,21 +23,47 @@ def middle_nodes(known: DataFrame) -> DataFrame:
     return known.select(F.col("dst").alias("id")).intersect(known.select(F.col("src").alias("id")))
 
 
-def capped_pairs(known: DataFrame, cap: int, seed: int = 42) -> DataFrame:
-    """x, r1, y, r2, z of at most ``cap`` joins at each middle node.
+def _by_middle(known: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(x, r1, y) and (y, r2, z) of facts (s, r, d)."""
+    return known.select(F.col("s").alias("x"), F.col("r").alias("r1"), F.col("d").alias("y")), known.select(F.col("s").alias("y"), F.col("r").alias("r2"), F.col("d").alias("z"))
+
+
+def _bodies(into: DataFrame, out: DataFrame) -> DataFrame:
+    """r1, r2, body: products of degrees at each middle node; no pair is made."""
+    ins, outs = into.groupBy("y", "r1").agg(F.count("*").alias("n1")), out.groupBy("y", "r2").agg(F.count("*").alias("n2"))
+    return ins.join(outs, "y").groupBy("r1", "r2").agg(F.sum(F.col("n1") * F.col("n2")).alias("body"))
 
-    Edges in and out are numbered; pair numbers are drawn by hash and joined back, so the full
-    product of a hub is never made. A node with no more pairs than ``cap`` gives all of them.
+
+def drawn_pairs(known: DataFrame, cap: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Of facts (s, r, d): the middle nodes y of more than ``cap`` pairs, and x, r1, y, r2, z of at most ``cap`` pairs of each.
+
+    Edges in and out are numbered, pair numbers are drawn by hash and joined back, so the full product
+    of a hub is never made, nor are its edges sorted by one task.
     """
-    into = known.select(F.col("src").alias("x"), F.col("rel").alias("r1"), F.col("dst").alias("y")).withColumn("i", F.row_number().over(W.partitionBy("y").orderBy("r1", "x")) - 1)
-    out = known.select(F.col("src").alias("y"), F.col("rel").alias("r2"), F.col("dst").alias("z")).withColumn("o", F.row_number().over(W.partitionBy("y").orderBy("r2", "z")) - 1)
+    into, out = _by_middle(known)
     n = into.groupBy("y").agg(F.count("*").alias("n_in")).join(out.groupBy("y").agg(F.count("*").alias("n_out")), "y")
     total = F.col("n_in") * F.col("n_out")
-    numbers = n.select("y", "n_out", F.when(total <= cap, F.sequence(F.lit(0).cast("long"), total - 1)).otherwise(
-        F.array_distinct(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(cap - 1).cast("long")), lambda k: F.pmod(F.xxhash64("y", k, F.lit(seed)), total)))
-    ).alias("numbers"))
-    drawn = numbers.select("y", F.explode("numbers").alias("p"), "n_out").select("y", F.floor(F.col("p") / F.col("n_out")).cast("int").alias("i"), (F.col("p") % F.col("n_out")).cast("int").alias("o"))
-    return drawn.join(into, ["y", "i"]).join(out, ["y", "o"]).select("x", "r1", "y", "r2", "z")
+    hot = cut(n.filter(total > cap))
+    few = checked_broadcast(hot.select("y"))
+    draws = F.sequence(F.lit(0).cast("long"), F.lit(cap - 1).cast("long"))
+    drawn = hot.select("y", "n_out", F.explode(F.array_distinct(F.transform(draws, lambda k: F.pmod(F.xxhash64("y", k, F.lit(seed)), total)))).alias("p"))
+    drawn = drawn.select("y", F.floor(F.col("p") / F.col("n_out")).alias("i"), (F.col("p") % F.col("n_out")).alias("o"))
+    ins, outs = places(into.join(few, "y", "left_semi"), "y", "i"), places(out.join(few, "y", "left_semi"), "y", "o")
+    return few, written(drawn.join(ins, ["y", "i"]).join(outs, ["y", "o"]).select("x", "r1", "y", "r2", "z"))
+
+
+def _pairs(known: DataFrame, cap: int, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Of facts (s, r, d): r1, r2, body, and x, r1, y, r2, z of at most ``cap`` pairs at each middle node."""
+    into, out = _by_middle(known)
+    few, drawn = drawn_pairs(known, cap, seed)
+    into, out = into.join(few, "y", "left_anti"), out.join(few, "y", "left_anti")
+    body = _bodies(into, out).unionByName(drawn.groupBy("r1", "r2").agg(F.count("*").alias("body"))).groupBy("r1", "r2").agg(F.sum("body").alias("body"))
+    return body, into.join(out, "y").select("x", "r1", "y", "r2", "z").unionByName(drawn)
+
+
+def capped_pairs(known: DataFrame, cap: int, seed: int = 42) -> DataFrame:
+    """x, r1, y, r2, z of at most ``cap`` joins at each middle node; one with no more pairs gives all of them."""
+    return _pairs(known.select(F.col("src").alias("s"), F.col("rel").alias("r"), F.col("dst").alias("d")), cap, seed)[1]
 
 
 def all_pairs(known: DataFrame) -> DataFrame:
@@ -43,15 +71,60 @@ def all_pairs(known: DataFrame) -> DataFrame:
     return first.join(known.select(F.col("src").alias("y"), F.col("rel").alias("r2"), F.col("dst").alias("z")), "y")
 
 
-def chain_rules(known: DataFrame, min_support: int = 2, min_confidence: float = 0.2, cap: int | None = 1000) -> DataFrame:
-    """r1, r2, r3, body, support, confidence of r1(x,y) and r2(y,z) => r3(x,z)."""
-    pairs = all_pairs(known) if cap is None else capped_pairs(known, cap)
-    counted = pairs.groupBy("x", "z", "r1", "r2").agg(F.count("*").alias("n"))
-    body = counted.groupBy("r1", "r2").agg(F.sum("n").alias("body"))
-    heads = known.select(F.col("src").alias("x"), F.col("rel").alias("r3"), F.col("dst").alias("z"))
-    support = counted.join(heads, ["x", "z"]).groupBy("r1", "r2", "r3").agg(F.sum("n").alias("support"))
+def closed_chains(known: DataFrame) -> DataFrame:
+    """r1, r2, r3, support: how many x, y, z have r1(x,y), r2(y,z) and r3(x,z), of distinct facts (s, r, d).
+
+    Of three distinct nodes the one of fewest facts is the corner that a triangle is found from: there
+    a node has no more than about the root of all facts towards nodes of more, so a hub's pairs are
+    never made. Three facts that don't go in a circle are one chain with its head. Loops are counted apart.
+    """
+    plain, loops = known.filter("s <> d"), known.filter("s = d").select(F.col("s").alias("l"), F.col("r").alias("rl"))
+    degree = checked_broadcast(cut(plain.select(F.explode(F.array("s", "d")).alias("n")).groupBy("n").agg(F.count("*").alias("w"))))
+    both = plain.join(degree.select(F.col("n").alias("s"), F.col("w").alias("ws")), "s").join(degree.select(F.col("n").alias("d"), F.col("w").alias("wd")), "d")
+    up = F.struct("ws", "s") < F.struct("wd", "d")
+    edge = written(both.select(F.when(up, F.col("s")).otherwise(F.col("d")).alias("lo"), F.when(up, F.col("d")).otherwise(F.col("s")).alias("hi"), F.greatest("ws", "wd").alias("w"), "r", up.alias("f")))
+    side = lambda p: edge.select("lo", F.col("hi").alias(f"hi_{p}"), F.col("w").alias(f"w_{p}"), F.col("r").alias(f"r_{p}"), F.col("f").alias(f"f_{p}"))
+    corners = side("a").join(side("b"), "lo").filter((F.col("w_a") < F.col("w_b")) | ((F.col("w_a") == F.col("w_b")) & (F.col("hi_a") < F.col("hi_b"))))
+    closing = edge.select(F.col("lo").alias("hi_a"), F.col("hi").alias("hi_b"), F.col("r").alias("r_c"), F.col("f").alias("f_c"))
+    found = corners.join(closing.hint("shuffle_hash"), ["hi_a", "hi_b"]).groupBy("f_a", "f_b", "f_c", "r_a", "r_b", "r_c").agg(F.count("*").alias("n"))
+    # by the directions of the corner's two edges and the closing one: which edges are first, second and head
+    orders = {(True, True, True): "acb", (True, True, False): "bca", (True, False, False): "bac", (False, True, True): "abc", (False, False, True): "cba", (False, False, False): "cab"}
+    role = lambda k: F.coalesce(*[F.when((F.col("f_a") == a) & (F.col("f_b") == b) & (F.col("f_c") == c), F.col(f"r_{names[k]}")) for (a, b, c), names in orders.items()])
+    parts = [found.select(role(0).alias("r1"), role(1).alias("r2"), role(2).alias("r3"), "n").filter(F.col("r1").isNotNull())]
+    if not loops.isEmpty():
+        of = lambda a, b, r: known.select(F.col("s").alias(a), F.col("d").alias(b), F.col("r").alias(r))
+        one = F.lit(1).cast("long").alias("n")
+        at = lambda c: loops.select(F.col("l").alias(c), F.col("rl").alias(f"r_{c}"))
+        out, back = of("x", "z", "r2").filter("x <> z"), of("x", "z", "r3").filter("x <> z")
+        parts.append(at("x").join(out, "x").join(back, ["x", "z"]).select(F.col("r_x").alias("r1"), "r2", "r3", one))
+        parts.append(at("z").join(out, "z").join(back, ["x", "z"]).select(F.col("r2").alias("r1"), F.col("r_z").alias("r2"), "r3", one))
+        there, again = of("x", "y", "r1").filter("x <> y"), of("y", "x", "r2")
+        parts.append(at("x").join(there, "x").join(again, ["x", "y"]).select("r1", "r2", F.col("r_x").alias("r3"), one))
+        parts.append(at("x").join(loops.select(F.col("l").alias("x"), F.col("rl").alias("r2")), "x").join(loops.select(F.col("l").alias("x"), F.col("rl").alias("r3")), "x").select(F.col("r_x").alias("r1"), "r2", "r3", one))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("r1", "r2", "r3").agg(F.sum("n").alias("support"))
+
+
+def chain_rules(known: DataFrame, min_support: int = 2, min_confidence: float = 0.2, cap: int | None = 1000, coding: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """r1, r2, r3, body, support, confidence of r1(x,y) and r2(y,z) => r3(x,z).
+
+    Bodies are products of degrees. Without a cap supports are counted triangle by triangle; with one,
+    middle nodes of more pairs count with those that were drawn. ``coding``: ``coded(known)``, if it is at hand.
+    """
+    known, rels = coded(known) if coding is None else coding
+    if cap is None:
+        body, support = _bodies(*_by_middle(known)), closed_chains(known)
+    else:
+        body, pairs = _pairs(known, cap)
+        heads = known.select(F.col("s").alias("x"), F.col("r").alias("r3"), F.col("d").alias("z"))
+        support = pairs.join(heads.hint("shuffle_hash"), ["x", "z"]).groupBy("r1", "r2", "r3").agg(F.count("*").alias("support"))
     rules = support.join(body, ["r1", "r2"]).withColumn("confidence", F.col("support").cast("double") / F.col("body"))
-    return rules.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)).select("r1", "r2", "r3", "body", "support", "confidence")
+    rules = cut(rules.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence)))
+    for c in ("r1", "r2", "r3"):
+        rules = rules.withColumnRenamed(c, "r").join(checked_broadcast(rels), "r").drop("r").withColumnRenamed("rel", c)
+    return rules.select("r1", "r2", "r3", "body", "support", "confidence")
 
 
 def symmetry_rules(known: DataFrame, min_support: int = 2, min_confidence: float = 0.2) -> DataFrame:
@@ -62,11 +135,11 @@ def symmetry_rules(known: DataFrame, min_support: int = 2, min_confidence: float
     return rules.filter((F.col("support") >= min_support) & (F.col("confidence") >= min_confidence))
 
 
-def smart_rules(known: DataFrame, cap: int | None = 1000) -> DataFrame:
+def smart_rules(known: DataFrame, cap: int | None = 1000, coding: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """kind, r1, r2, r3, support, confidence: priors, chains and symmetries."""
     none = F.lit(None).cast("string")
     prior = relation_priors(known).select(F.lit("prior").alias("kind"), none.alias("r1"), none.alias("r2"), F.col("rel").alias("r3"), "support", "confidence")
-    chain = chain_rules(known, cap=cap).select(F.lit("chain").alias("kind"), "r1", "r2", "r3", "support", "confidence")
+    chain = chain_rules(known, cap=cap, coding=coding).select(F.lit("chain").alias("kind"), "r1", "r2", "r3", "support", "confidence")
     symmetry = symmetry_rules(known).select(F.lit("symmetry").alias("kind"), F.col("rel").alias("r1"), none.alias("r2"), F.col("rel").alias("r3"), "support", "confidence")
     return prior.unionByName(chain).unionByName(symmetry)
 
@@ -116,15 +189,6 @@ def corruptions(known: DataFrame, positives: DataFrame) -> DataFrame:
     return positives.join(tails, "rel").filter("tail <> dst").select("src", "rel", F.col("tail").alias("dst")).distinct().join(known, ["src", "rel", "dst"], "left_anti")
 
 
-def numbered(nodes: DataFrame, parts: int = 4096) -> DataFrame:
-    """``nodes`` (distinct id) with k from 0 on, each once: places within parts by hash, after the nodes of the parts before."""
-    dealt = nodes.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(W.orderBy("part")) - F.col("n")).alias("before"))  # a row for each part
-    place = F.row_number().over(W.partitionBy("part").orderBy("id")) - 1
-    return dealt.withColumn("place", place).join(F.broadcast(before), "part").select("id", (F.col("before") + F.col("place")).cast("long").alias("k"))
-
-
 def negative_samples(known: DataFrame, positives: DataFrame, per_side: int = 4, seed: int = 42) -> DataFrame:
     """src, rel, dst: so many corrupted heads and tails of each positive, drawn by hash among the nodes, none known."""
     nodes = known.select(F.col("src").alias("id")).unionByName(known.select(F.col("dst").alias("id"))).distinct()

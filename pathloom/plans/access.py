@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from ..config import EdgeFilter
 from ..functions import scalars as S
-from ..operators import aggregates, catalog
+from ..operators import aggregates, catalog, paths, ranking
 from ..operators import graph as G
+from ..operators.numbering import coded
 from ..sources import derived as D
+from ..sources.shared import kept
 from .registry import query
 
 SEEDS = ("Customer/1", "Customer/2")
@@ -20,6 +22,11 @@ def ids(spark, names):
     return spark.createDataFrame([(n,) for n in names], "id string")
 
 
+def coding(s, d):
+    """The facts in whole numbers, written once a session."""
+    return kept(s, ("coding", d), lambda: coded(D.edges(s, d).select("src", "rel", "dst").dropDuplicates()))
+
+
 def plain(name, tables, body, f):
     query(name, tables, body)(f)
 
@@ -196,12 +203,12 @@ plain(
        SELECT src, rel, dst, CASE WHEN w > 0 THEN round(1 / (1 + exp(-t / w)), 9) END AS confidence FROM l""",
     lambda s, d: D.confidences(D.edges(s, d).select("src", "rel", "dst").distinct()).select("src", "rel", "dst", F.round(S.combine_confidence(F.col("raw"), F.col("posterior"), F.col("calib")), 9).alias("confidence")),
 )
-plain("confidence_constant", "edges", "SELECT DISTINCT src, rel, dst, 0.8::DOUBLE AS confidence FROM edges", lambda s, d: __import__("pathloom.operators.paths", fromlist=["x"]).default_confidence(D.edges(s, d).select("src", "rel", "dst").distinct()))
-plain("transition_probs", "edges", "SELECT src, dst, round(sum(greatest(weight, 0)) / max(t), 9) AS share FROM edges JOIN (SELECT src, sum(greatest(weight, 0)) AS t FROM edges GROUP BY src) USING (src) GROUP BY src, dst", lambda s, d: __import__("pathloom.operators.ranking", fromlist=["x"]).weighted_transition(D.edges(s, d)).select("src", "dst", F.round("share", 9).alias("share")))
+plain("confidence_constant", "edges", "SELECT DISTINCT src, rel, dst, 0.8::DOUBLE AS confidence FROM edges", lambda s, d: paths.default_confidence(D.edges(s, d).select("src", "rel", "dst").distinct()))
+plain("transition_probs", "edges", "SELECT src, dst, round(sum(greatest(weight, 0)) / max(t), 9) AS share FROM edges JOIN (SELECT src, sum(greatest(weight, 0)) AS t FROM edges GROUP BY src) USING (src) GROUP BY src, dst", lambda s, d: ranking.weighted_transition(D.edges(s, d)).select("src", "dst", F.round("share", 9).alias("share")))
 plain(
     "triad_closure", "edges",
     """WITH p AS (SELECT DISTINCT src, dst FROM edges WHERE src <> dst AND rel IN ('contains', 'supplied_by', 'fulfilled_by', 'neighbors')),
        w AS (SELECT a.src AS u, b.dst AS w FROM p a JOIN p b ON a.dst = b.src WHERE a.src <> b.dst)
        SELECT CAST(count(*) AS BIGINT) AS wedges, CAST(count(p.src) AS BIGINT) AS triads, round(count(p.src)::DOUBLE / count(*), 9) AS closure FROM w LEFT JOIN p ON p.src = w.u AND p.dst = w.w""",
-    lambda s, d: aggregates.wedges_and_triads(D.edges(s, d), ("contains", "supplied_by", "fulfilled_by", "neighbors")).select(F.col("wedges").cast("long").alias("wedges"), F.col("triads").cast("long").alias("triads"), F.round("closure", 9).alias("closure")),
+    lambda s, d: aggregates.wedges_and_triads(D.edges(s, d), ("contains", "supplied_by", "fulfilled_by", "neighbors"), coding(s, d)).select(F.col("wedges").cast("long").alias("wedges"), F.col("triads").cast("long").alias("triads"), F.round("closure", 9).alias("closure")),
 )

@@ -10,7 +10,7 @@ from ..model import mln
 from ..operators import evaluation as V
 from ..operators import rules as R
 from ..sources import derived as D
-from .access import plain
+from .access import coding, plain
 
 FACT = "f AS (SELECT DISTINCT src, rel, dst FROM edges)"
 SMALL = "f AS (SELECT DISTINCT src, rel, dst FROM edges WHERE rel IN ('located_in', 'part_of', 'neighbors', 'fulfilled_by'))"
@@ -34,14 +34,14 @@ r9 = lambda df, *c: df.withColumns({x: F.round(x, 9) for x in c})
 plain("relation_priors", "edges", f"WITH {FACT} SELECT rel, support, round(confidence, 12) AS confidence FROM ({PRIORS})", lambda s, d: R.relation_priors(facts(s, d)).withColumn("confidence", F.round("confidence", 12)))
 plain("middle_nodes", "edges", f"WITH {FACT} SELECT dst AS id FROM f INTERSECT SELECT src FROM f", lambda s, d: R.middle_nodes(facts(s, d)))
 plain("all_facts", "edges", f"WITH {FACT} SELECT * FROM f", lambda s, d: R.hold_out(facts(s, d)).filter("is_known").drop("is_known").unionByName(R.hold_out(facts(s, d)).filter("NOT is_known").drop("is_known")).distinct())
-plain("chain_rules", "edges", f"WITH {FACT}, {CHAINS} SELECT r1, r2, r3, body, support, round(confidence, 9) AS confidence FROM chains", lambda s, d: r9(R.chain_rules(facts(s, d), cap=None), "confidence"))
-plain("chain_rules_capped", None, None, lambda s, d: R.chain_rules(facts(s, d), cap=1000))
+plain("chain_rules", "edges", f"WITH {FACT}, {CHAINS} SELECT r1, r2, r3, body, support, round(confidence, 9) AS confidence FROM chains", lambda s, d: r9(R.chain_rules(facts(s, d), cap=None, coding=coding(s, d)), "confidence"))
+plain("chain_rules_capped", None, None, lambda s, d: R.chain_rules(facts(s, d), cap=1000, coding=coding(s, d)))
 plain("symmetry_rules", "edges", f"WITH {FACT}, {SYMMETRIC} SELECT rel, body, support, round(confidence, 9) AS confidence FROM sym", lambda s, d: r9(R.symmetry_rules(facts(s, d)), "confidence"))
 RULES = f"{FACT}, {CHAINS}, {SYMMETRIC}, rules AS (SELECT 'prior' AS kind, NULL AS r1, NULL AS r2, rel AS r3, support, confidence FROM ({PRIORS}) UNION ALL SELECT 'chain', r1, r2, r3, support, confidence FROM chains UNION ALL SELECT 'symmetry', rel, NULL, rel, support, confidence FROM sym)"
 
 
 def rules(s, d):
-    return R.smart_rules(facts(s, d), cap=None)
+    return R.smart_rules(facts(s, d), cap=None, coding=coding(s, d))
 
 
 plain("smart_rules", "edges", f"WITH {RULES} SELECT kind, r1, r2, r3, support, round(confidence, 12) AS confidence FROM rules", lambda s, d: rules(s, d).withColumn("confidence", F.round("confidence", 12)))

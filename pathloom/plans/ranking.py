@@ -32,8 +32,18 @@ def power_sql(steps):
     return ", ".join([START, UNIFORM, "r0 AS (SELECT * FROM start)", *parts, f"ppr AS (SELECT id, round(sum(m), 9) AS score FROM ({union}) GROUP BY id)"])
 
 
+@D.stored()
+def uniform(s, d):
+    return ranking.adjacency(D.edges(s, d))
+
+
+@D.stored()
+def weighted(s, d):
+    return ranking.adjacency(D.edges(s, d), weighted=True)
+
+
 def ppr(s, d, steps=5):
-    return rounded(ranking.power_ppr(start(s), ranking.uniform_transition(D.edges(s, d)), ALPHA, steps), "score")
+    return rounded(ranking.power_ppr(start(s), uniform(s, d), ALPHA, steps), "score")
 
 
 plain("personalization", None, "SELECT id, mass / sum(mass) OVER () AS mass FROM (SELECT 'Customer/1' AS id, 2.0::DOUBLE AS mass UNION ALL SELECT 'Customer/2', 1.0 + 1.0)", lambda s, d: ranking.personalization(ids(s, ["Customer/1", "Customer/2", "Customer/1"]), s.createDataFrame([("Customer/2", 1.0)], "id string, mass double")))
@@ -49,14 +59,20 @@ def _walks_sql(steps):
 
 
 def expected(s, d, steps=5):
-    return ranking.expected_walks(start(s), ranking.weighted_transition(D.edges(s, d)), ALPHA, steps)
+    return ranking.expected_walks(start(s), weighted(s, d), ALPHA, steps)
 
 
 plain("mc_ppr_expected", "edges", f"WITH {_walks_sql(5)} SELECT id, round(mass / (SELECT sum(mass) FROM v), 9) AS score FROM v", lambda s, d: rounded(expected(s, d), "score"))
-plain("push_ppr", None, None, lambda s, d: ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None))
-plain("mixed_ppr", None, None, lambda s, d: ranking.mix(ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None), expected(s, d, 40), 200))
-plain("find_anchors", None, None, lambda s, d: ranking.top(ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None), 20))
-plain("bippr", None, None, lambda s, d: ranking.bippr(start(s), ids(s, ["Nation/1", "Nation/2", "Region/1"]), D.edges(s, d), ALPHA))
+
+
+def push(s, d):
+    return ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None, uniform(s, d))
+
+
+plain("push_ppr", None, None, push)
+plain("mixed_ppr", None, None, lambda s, d: ranking.mix(push(s, d), expected(s, d, 40), 200))
+plain("find_anchors", None, None, lambda s, d: ranking.top(push(s, d), 20))
+plain("bippr", None, None, lambda s, d: ranking.bippr(start(s), ids(s, ["Nation/1", "Nation/2", "Region/1"]), D.edges(s, d), ALPHA, transition=uniform(s, d)))
 plain("walk_index_hits", None, None, lambda s, d: ranking.walk_hits(ranking.sampled_walks(ids(s, SEEDS), D.edges(s, d), 10, 6)))
 
 
@@ -82,11 +98,7 @@ plain(
 
 
 def _khop(s, d):
-    x, t, parts = start(s), ranking.cut(ranking.uniform_transition(D.edges(s, d))), []
-    for _ in range(3):
-        x = ranking._moved(x, t).withColumn("mass", F.col("mass") * (1 - ALPHA))
-        parts.append(x)
-    return rounded(ranking._summed(parts), "mass")
+    return rounded(ranking._summed(ranking.steps_of(start(s), uniform(s, d), ALPHA, 4)[1:]), "mass")
 
 
 # -- beam search
@@ -110,14 +122,14 @@ def ranks(s, d):
     return ranking.cut(ranking.top(ppr(s, d), 200))
 
 
-def beam(s, d):
+def beam(s, d, of=None):
     edges = paths.default_confidence(D.edges(s, d))
-    return paths.beam_search(edges, ids(s, SEEDS), ranks(s, d), BeamParams(3, WIDTH, MOST))
+    return paths.beam_search(edges, ids(s, SEEDS), ranks(s, d) if of is None else of, BeamParams(3, WIDTH, MOST))
 
 
-def beam_paths(s, d):
+def beam_paths(s, d, of=None):
     """The paths, numbered; their lineage is cut as several branches read them."""
-    return ranking.cut(paths.numbered(beam(s, d)))
+    return ranking.cut(paths.numbered(beam(s, d, of)))
 
 
 BEAM = _beam_sql()
@@ -133,8 +145,9 @@ SCORED = f"""{BEAM}, spots AS (SELECT path_id, hop, unnest(nodes) AS id FROM pat
 SIGNALS = "edges bridges membership affinities"
 
 
-def scored(s, d):
-    return scoring.score_paths(beam_paths(s, d), ranks(s, d), D.bridges(s, d), D.membership(s, d), D.affinities(s, d))
+def scored(s, d, of=None):
+    of = ranks(s, d) if of is None else of
+    return ranking.cut(scoring.score_paths(beam_paths(s, d, of), of, D.bridges(s, d), D.membership(s, d), D.affinities(s, d)))
 
 
 plain("path_score", SIGNALS, f"WITH {SCORED} SELECT path_id, round(path_score, 9) AS path_score FROM scored", lambda s, d: scored(s, d).select(F.col("path_id").cast("long").alias("path_id"), F.round("path_score", 9).alias("path_score")))
@@ -142,8 +155,20 @@ plain("scored_paths", SIGNALS, f"WITH {SCORED} SELECT s.path_id, array_to_string
 STRENGTH = "(SELECT 1 - exp(sum(ln(greatest(1e-300, 1 - path_score)))) AS v FROM (SELECT path_score FROM scored ORDER BY path_score DESC LIMIT 5))"
 RELEVANCE = "(SELECT sum(score) AS v FROM ranks WHERE id IN (SELECT id FROM spots))"
 plain("evidence_strength", SIGNALS, f"WITH {SCORED} SELECT round(v, 9) AS evidence_strength FROM {STRENGTH}", lambda s, d: rounded(scoring.evidence_strength(scored(s, d)), "evidence_strength"))
-plain("community_relevance", SIGNALS, f"WITH {SCORED} SELECT round(v, 9) AS community_relevance FROM {RELEVANCE}", lambda s, d: rounded(scoring.community_relevance(beam_paths(s, d), ranks(s, d)), "community_relevance"))
-plain("insight_score", SIGNALS, f"WITH {SCORED} SELECT round(e.v, 9) AS evidence_strength, round(c.v, 9) AS community_relevance, round(0.5 * least(greatest(e.v, 0), 1) + 0.2 * least(greatest(c.v, 0), 1) + 0.1 + 0.05, 9) AS insight_score FROM {STRENGTH} e, {RELEVANCE} c", lambda s, d: rounded(scoring.insight(scored(s, d), ranks(s, d)), "evidence_strength", "community_relevance", "insight_score"))
+plain("community_relevance", SIGNALS, f"WITH {SCORED} SELECT round(v, 9) AS community_relevance FROM {RELEVANCE}", lambda s, d: _relevance(s, d))
+plain("insight_score", SIGNALS, f"WITH {SCORED} SELECT round(e.v, 9) AS evidence_strength, round(c.v, 9) AS community_relevance, round(0.5 * least(greatest(e.v, 0), 1) + 0.2 * least(greatest(c.v, 0), 1) + 0.1 + 0.05, 9) AS insight_score FROM {STRENGTH} e, {RELEVANCE} c", lambda s, d: _insight(s, d))
+
+
+def _relevance(s, d):
+    of = ranks(s, d)
+    return rounded(scoring.community_relevance(beam_paths(s, d, of), of), "community_relevance")
+
+
+def _insight(s, d):
+    of = ranks(s, d)
+    return rounded(scoring.insight(scored(s, d, of), of), "evidence_strength", "community_relevance", "insight_score")
+
+
 
 # -- scalar forms over paths
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import kept, written
+
 AS_OF = "1999-01-01"
 WINDOW = ("1998-01-01", "1998-12-31")
 
@@ -33,6 +37,20 @@ def _id(kind: str, key: str) -> Column:
     return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
 
 
+def stored(by: str | None = None) -> Callable:
+    """A function of (spark, sf_dir) whose table is derived and written once a session, in order of ``by``."""
+
+    def wrap(make: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        @wraps(make)
+        def read_or_make(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return kept(spark, (make.__module__, make.__qualname__, sf_dir), lambda: written(make(spark, sf_dir), by))
+
+        return read_or_make
+
+    return wrap
+
+
+@stored("src")
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """edge_id, src, rel, dst, weight, created_at, status; a bag."""
     none_t, none_s = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
@@ -66,6 +84,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@stored("id")
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """id, type, label, created_at, updated_at."""
     none_t, none_s = F.lit(None).cast("timestamp"), F.lit(None).cast("string")
@@ -87,6 +106,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out
 
 
+@stored("entity")
 def membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, community, algorithm: nations by region, and what lies in a nation; parts are left out."""
     place = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "r_name")
@@ -110,12 +130,14 @@ def _sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.join(buyers, F.col("l_orderkey") == F.col("o_orderkey")).join(sellers, F.col("l_suppkey") == F.col("s_suppkey")).select("l_suppkey", "bought_in", "sold_in")
 
 
+@stored()
 def bridges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entity, strength, community, algorithm: suppliers by the customer regions they serve beyond one."""
     sales = _sales(spark, sf_dir).groupBy("l_suppkey", "sold_in").agg((F.count_distinct("bought_in") - 1).cast("double").alias("strength"))
     return sales.select(_id("Supplier", "l_suppkey").alias("entity"), "strength", F.col("sold_in").alias("community"), F.lit("region").alias("algorithm"))
 
 
+@stored()
 def affinities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """from_c, to_c, score, algorithm: a row for each pair of regions, with their share of all line items."""
     sales = _sales(spark, sf_dir)
