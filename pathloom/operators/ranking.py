@@ -135,7 +135,8 @@ def expected_walks(start: DataFrame, transition: DataFrame, alpha: float, steps:
 
 
 def top(scores: DataFrame, n: int) -> DataFrame:
-    return scores.orderBy(F.col("score").desc(), "id").limit(n)
+    """The ``n`` best; what differs by less than rounding is a tie, which goes by id."""
+    return scores.orderBy(F.round("score", 12).desc(), "id").limit(n)
 
 
 def mix(push: DataFrame, walks: DataFrame, topn: int = 200) -> DataFrame:

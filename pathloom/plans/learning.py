@@ -163,7 +163,15 @@ def _uncertainty(s, d):
 
 plain("parse_timestamp", None, "SELECT event_id, epoch_us(ts::TIMESTAMP) AS parsed FROM events", lambda s, d: D.read(s, d, "events").select("event_id", F.unix_micros(S.parse_timestamp(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"))).alias("parsed")))
 plain("pii_redaction", None, r"SELECT doc_id, md5(regexp_replace(regexp_replace(text, '[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}', '[EMAIL_REDACTED]', 'g'), '\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}', '[PHONE_REDACTED]', 'g')) AS digest FROM documents", lambda s, d: D.read(s, d, "documents").select("doc_id", F.md5(S.redact_pii(F.col("text"))).alias("digest")))
-plain("isotonic_calibration", None, None, lambda s, d: mln.isotonic(_probabilities(s, d)))
+# pools of adjacent violators by their max-min form over the distinct probabilities
+plain(
+    "isotonic_calibration", None,
+    """WITH p AS (SELECT (doc_id % 101) / 100.0::DOUBLE AS p, avg(quality::DOUBLE) AS y, count(*) AS n FROM labels GROUP BY 1),
+       m AS (SELECT a.p AS low, b.p AS high, (SELECT sum(y * n) / sum(n) FROM p WHERE p BETWEEN a.p AND b.p) AS mean FROM p a JOIN p b ON a.p <= b.p),
+       t AS (SELECT p.p, m.low, min(mean) AS least FROM p JOIN m ON m.low <= p.p AND m.high >= p.p GROUP BY p.p, m.low)
+       SELECT p AS probability, round(max(least), 9) AS calibrated FROM t GROUP BY p""",
+    lambda s, d: r9(mln.isotonic(_probabilities(s, d)), "calibrated"),
+)
 plain("score_edge", None, None, lambda s, d: _score_edge(s, d))
 plain("stratified_sample", None, None, lambda s, d: _stratified(facts(s, d), 20))
 

@@ -69,10 +69,55 @@ def push(s, d):
     return ranking.push_ppr(start(s), D.edges(s, d), ALPHA, 1e-4, None, uniform(s, d))
 
 
-plain("push_ppr", None, None, push)
-plain("mixed_ppr", None, None, lambda s, d: ranking.mix(push(s, d), expected(s, d, 40), 200))
-plain("find_anchors", None, None, lambda s, d: ranking.top(push(s, d), 20))
-plain("bippr", None, None, lambda s, d: ranking.bippr(start(s), ids(s, ["Nation/1", "Nation/2", "Region/1"]), D.edges(s, d), ALPHA, transition=uniform(s, d)))
+#: Rounds that the SQL of pushes unrolls. Those after the last hot node change nothing; at sf0.1 it takes 13.
+UNROLLED = 40
+
+
+def _push_sql(name, start_sql, eps, rounds, edges="edges"):
+    """CTEs that end in {name}(id, score): pushes of ``rounds`` rounds over ``edges`` (src, dst)."""
+    out = [f"{name}_d AS MATERIALIZED (SELECT src, count(*)::DOUBLE AS d FROM {edges} GROUP BY src)", f"{name}_r0 AS MATERIALIZED (SELECT id, mass, TRUE AS hot FROM {start_sql})"]
+    for k in range(rounds):
+        sent = f"SELECT e.dst AS id, r.mass / d * {1 - ALPHA} AS mass FROM {name}_r{k} r JOIN {name}_d ON src = r.id JOIN {edges} e ON e.src = r.id WHERE hot"
+        out.append(f"{name}_r{k + 1} AS MATERIALIZED (SELECT id, mass, mass / greatest(coalesce(d, 1), 1) > {eps} AS hot FROM (SELECT id, sum(mass) AS mass FROM ({sent} UNION ALL SELECT id, mass FROM {name}_r{k} WHERE NOT hot) GROUP BY id) LEFT JOIN {name}_d ON src = id)")
+    kept = " UNION ALL ".join(f"SELECT id, mass * {ALPHA} AS m FROM {name}_r{k} WHERE hot" for k in range(rounds))
+    return ", ".join([*out, f"{name} AS MATERIALIZED (SELECT id, sum(m) AS score FROM ({kept}) GROUP BY id)"])
+
+
+def _visits_sql(steps):
+    """CTEs that end in v(id, mass): visits of restarting walks, as in ``_walks_sql`` but for many steps."""
+    out = [WEIGHTED.replace("t AS (", "t AS MATERIALIZED ("), "x0 AS MATERIALIZED (SELECT * FROM start)"]
+    for k in range(steps - 1):
+        out.append(f"x{k + 1} AS MATERIALIZED (SELECT id, sum(mass) AS mass FROM (SELECT id, {ALPHA} * mass * (SELECT sum(mass) FROM x{k}) AS mass FROM start UNION ALL SELECT dst, {1 - ALPHA} * x.mass * share FROM x{k} x JOIN t ON src = x.id) GROUP BY id)")
+    union = " UNION ALL ".join(f"SELECT * FROM x{k}" for k in range(steps))
+    return ", ".join([*out, f"v AS MATERIALIZED (SELECT id, sum(mass) / (SELECT sum(mass) FROM ({union})) AS score FROM ({union}) GROUP BY id)"])
+
+
+PUSH = _push_sql("pushed", "start", 1e-4, UNROLLED)
+plain("push_ppr", "edges", f"WITH {START}, {PUSH} SELECT id, round(score, 9) AS score FROM pushed", lambda s, d: rounded(push(s, d), "score"))
+plain(
+    "mixed_ppr", "edges",
+    f"""WITH {START}, {PUSH}, {_visits_sql(40)}, m AS (SELECT greatest(1 - greatest(sum(score), 1e-12), 0) AS rest FROM pushed),
+        b AS (SELECT id, sum(score) AS score FROM (SELECT id, score FROM pushed UNION ALL SELECT id, score * rest FROM v, m) GROUP BY id), n AS (SELECT id, score / (SELECT sum(score) FROM b) AS score FROM b)
+        SELECT id, round(score, 9) AS score FROM n ORDER BY round(score, 12) DESC, id LIMIT 200""",
+    lambda s, d: rounded(ranking.mix(push(s, d), expected(s, d, 40), 200), "score"),
+)
+plain("find_anchors", "edges", f"WITH {START}, {PUSH} SELECT id, round(score, 9) AS score FROM pushed ORDER BY round(score, 12) DESC, id LIMIT 20", lambda s, d: rounded(ranking.top(push(s, d), 20), "score"))
+TARGETS = ("Nation/1", "Nation/2", "Region/1")
+
+
+def _hits_sql(steps):
+    out = ["y0 AS MATERIALIZED (SELECT * FROM start)"]
+    out += [f"y{k + 1} AS MATERIALIZED (SELECT dst AS id, sum(mass * share) * {1 - ALPHA} AS mass FROM y{k} JOIN t ON src = id GROUP BY dst)" for k in range(steps - 1)]
+    return ", ".join([*out, f"hits AS (SELECT id, sum(mass) AS mass FROM ({' UNION ALL '.join(f'SELECT * FROM y{k}' for k in range(steps))}) GROUP BY id)"])
+
+
+plain(
+    "bippr", "edges",
+    f"""WITH {START}, {UNIFORM.replace("t AS (", "t AS MATERIALIZED (")}, targets AS (SELECT unnest({list(TARGETS)}) AS id), back_start AS (SELECT id, 1.0::DOUBLE / 3 AS mass FROM targets), turned AS MATERIALIZED (SELECT dst AS src, src AS dst FROM edges),
+        {_push_sql("back", "back_start", 1e-4, 10, "turned")}, {_hits_sql(10)}, b AS (SELECT id, coalesce(score, 0) * coalesce(mass, 0) AS score FROM targets LEFT JOIN back USING (id) LEFT JOIN hits USING (id))
+        SELECT id, round(CASE WHEN (SELECT sum(score) FROM b) > 0 THEN score / (SELECT sum(score) FROM b) ELSE 0 END, 9) AS score FROM b""",
+    lambda s, d: rounded(ranking.bippr(start(s), ids(s, TARGETS), D.edges(s, d), ALPHA, transition=uniform(s, d)), "score"),
+)
 plain("walk_index_hits", None, None, lambda s, d: ranking.walk_hits(ranking.sampled_walks(ids(s, SEEDS), D.edges(s, d), 10, 6)))
 
 
@@ -267,5 +312,13 @@ LINK = """m AS (SELECT c_custkey AS mention_id, unnest([0, 1, 2]) AS k FROM cust
  b AS (SELECT mention_id, entity, round(score, 9) AS score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, entity) AS k FROM s), linked AS (SELECT * FROM b WHERE k = 1)"""
 plain("entity_linking", "edges", f"WITH {power_sql(5)}, {LINK} SELECT mention_id, entity, score, round((score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-9), 6) AS confidence FROM linked", lambda s, d: linking.link(_mentions(s, d), ppr(s, d)).select("mention_id", "entity", F.round("score", 9).alias("score"), F.round("confidence", 6).alias("confidence")))
 plain("linked_seeds", "edges", f"WITH {power_sql(5)}, {LINK} SELECT entity AS id FROM linked GROUP BY entity ORDER BY min(mention_id), entity LIMIT 3", lambda s, d: linking.linked_seeds(linking.link(_mentions(s, d), ppr(s, d))))
-plain("link_coherence", None, None, lambda s, d: linking.link(_mentions(s, d), ppr(s, d), D.edges(s, d).filter("src LIKE 'Customer/%'").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("score"))))
-
+FITS = """fit AS (SELECT a AS entity, b AS other FROM (SELECT src AS a, dst AS b FROM edges WHERE src LIKE 'Customer/%' UNION SELECT dst, src FROM edges WHERE src LIKE 'Customer/%')),
+ n AS (SELECT count(*) AS n FROM linked), times AS (SELECT entity AS other, count(*) AS t FROM linked GROUP BY entity),
+ f AS (SELECT s.mention_id, s.entity, sum(t - CASE WHEN l.entity = fit.other THEN 1 ELSE 0 END) AS total FROM s JOIN fit ON fit.entity = s.entity JOIN times USING (other) JOIN linked l ON l.mention_id = s.mention_id GROUP BY s.mention_id, s.entity),
+ again AS (SELECT s.mention_id, s.entity, s.score + 0.1 * coalesce(total, 0) / (n - 1) AS score FROM s LEFT JOIN f ON f.mention_id = s.mention_id AND f.entity = s.entity, n),
+ best AS (SELECT mention_id, entity, score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, entity) AS k FROM again), chosen AS (SELECT * FROM best WHERE k = 1)"""
+plain(
+    "link_coherence", "edges",
+    f"WITH {power_sql(5)}, {LINK}, {FITS} SELECT mention_id, entity, round(score, 9) AS score, round((score - min(score) OVER ()) / greatest(max(score) OVER () - min(score) OVER (), 1e-9), 6) AS confidence FROM chosen",
+    lambda s, d: rounded(linking.link(_mentions(s, d), ppr(s, d), D.edges(s, d).filter("src LIKE 'Customer/%'").select(F.col("src").alias("a"), F.col("dst").alias("b"), F.lit(1.0).alias("score"))).withColumn("confidence", F.round("confidence", 6)), "score"),
+)

@@ -9,7 +9,6 @@ import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"path_score", "evidence_strength", "community_relevance", "power_mean", "provenance_coverage", "label_coverage", "recency_score", "motif_density", "surprise_priors", "dominant_relation"}
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(DIR), reason="no tables")
 
@@ -28,7 +27,7 @@ def rows(frame):
     return sorted(tuple(map(shown, r)) for r in frame.itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op") and n not in SLOW))
+@pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
 def test_agrees_with_sql(spark, db, name):
     assert rows(entry.queries()[name](spark, DIR).toPandas()) == rows(db.execute(entry.oracle_sql()[name]).df())
 
