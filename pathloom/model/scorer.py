@@ -1,7 +1,9 @@
 """A bilinear scorer of edges: u' relu((h+r)' W (t+r) + V [h+r; t+r] + b), trained in numpy, applied by Arrow batches.
 
 Training takes a bounded sample of facts (``MOST_FACTS``, chosen by hash); what it learns of entities
-is kept only for those. Others share one vector. Scoring runs on all rows, in executors.
+is kept only for those. Others share one vector, which is learned from known entities that are masked
+at random (``MASKED``), in facts as in corrupted ones, so it stands for an entity of its relation. Scoring
+runs on all rows, in executors.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from ..config import CorruptArtifactError, ModelConfig
 from ..operators.rules import facts, negative_samples
 
 MOST_FACTS = 200_000
+MASKED = 0.1
 OTHER = "\u0000other"
 
 
@@ -96,10 +99,13 @@ class Scorer:
             raise CorruptArtifactError("the model's document isn't valid") from e
 
 
-def train(known: DataFrame, config: ModelConfig = ModelConfig(), seed: int = 42) -> Scorer:
-    """A scorer of facts against corrupted ones by weighted logistic loss, with Adam."""
+def train(known: DataFrame, config: ModelConfig = ModelConfig(), seed: int = 42, most: int = MOST_FACTS, after=None) -> Scorer:
+    """A scorer of facts against corrupted ones by weighted logistic loss, with Adam.
+
+    ``after`` is called with each epoch's number and the scorer, and says whether to go on.
+    """
     known = facts(known)
-    positives = known.orderBy(F.xxhash64("src", "rel", "dst", F.lit(seed)), "src", "rel", "dst").limit(MOST_FACTS)
+    positives = known.orderBy(F.xxhash64("src", "rel", "dst", F.lit(seed)), "src", "rel", "dst").limit(most)
     good = [tuple(r) for r in positives.collect()]  # bounded
     bad = [tuple(r) for r in negative_samples(known, positives, config.negatives_per_side, seed).select("src", "rel", "dst").orderBy("src", "rel", "dst").collect()]
     entities = sorted({x for s, _, d in good for x in (s, d)})
@@ -113,14 +119,17 @@ def train(known: DataFrame, config: ModelConfig = ModelConfig(), seed: int = 42)
     m = {n: np.zeros_like(x) for n, x in scorer.tensors.items()}
     v = {n: np.zeros_like(x) for n, x in scorer.tensors.items()}
     rng, step = np.random.default_rng(seed), 0
-    for _ in range(config.epochs):
+    for epoch in range(config.epochs):
         order = rng.permutation(len(rows))
+        head, tail = (np.where(rng.random(len(rows)) < MASKED, 0, x) for x in (h, t))
         for at in range(0, len(rows), config.batch_size):
             k, step = order[at : at + config.batch_size], step + 1
-            logits, held = scorer.forward(h[k], r[k], t[k])
+            logits, held = scorer.forward(head[k], r[k], tail[k])
             error = weight[k] * (1 / (1 + np.exp(-np.clip(logits, -40, 40))) - y[k]) / len(k)
-            for n, g in scorer.gradients(h[k], r[k], t[k], error, held).items():
+            for n, g in scorer.gradients(head[k], r[k], tail[k], error, held).items():
                 m[n] = 0.9 * m[n] + 0.1 * g
                 v[n] = 0.999 * v[n] + 0.001 * g * g
                 scorer.tensors[n] -= config.learning_rate * 3 * (m[n] / (1 - 0.9**step)) / (np.sqrt(v[n] / (1 - 0.999**step)) + 1e-8)
+        if after is not None and not after(epoch, scorer):
+            break
     return scorer

@@ -18,6 +18,28 @@ def filtered_ranks(scored: DataFrame, truths: DataFrame, known: DataFrame) -> Da
     return own.join(better, ["src", "rel", "dst"], "left").select("src", "rel", "dst", (1 + F.coalesce("n", F.lit(0))).alias("rank"))
 
 
+def filtered_head_ranks(scored: DataFrame, truths: DataFrame, known: DataFrame) -> DataFrame:
+    """The same among heads. ``scored``: head, rel, dst, score."""
+    turn = lambda df: df.select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"))
+    tails = scored.select(F.col("dst").alias("src"), "rel", F.col("head").alias("tail"), "score")
+    return filtered_ranks(tails, turn(truths), turn(known)).select(F.col("dst").alias("src"), "rel", F.col("src").alias("dst"), "rank")
+
+
+def link_prediction(tails: DataFrame, heads: DataFrame, truths: DataFrame, known: DataFrame) -> DataFrame:
+    """src, rel, dst, side, rank: each truth against other tails and against other heads."""
+    of = lambda df, side: df.withColumn("side", F.lit(side))
+    return of(filtered_ranks(tails, truths, known), "tail").unionByName(of(filtered_head_ranks(heads, truths, known), "head"))
+
+
+def ablation(variants: dict[str, DataFrame]) -> DataFrame:
+    """variant and its metrics, a row for each; the ranks (rank) of each variant."""
+    out = None
+    for name, ranks in variants.items():
+        row = ranking_metrics(ranks).select(F.lit(name).alias("variant"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def ranking_metrics(ranks: DataFrame) -> DataFrame:
     """One row: MRR, hits at 1, 3 and 10, mean and median rank."""
     hits = lambda k: F.avg((F.col("rank") <= k).cast("int")).alias(f"hits_{k}")

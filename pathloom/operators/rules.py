@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.shared import checked_broadcast, cut, written
@@ -178,6 +179,80 @@ def groundings(known: DataFrame, r1: str, r2: str, r3: str, limit: int | None =
     return out if limit is None else out.orderBy(F.xxhash64("x", "y", "z", F.lit(seed)), "x", "y", "z").limit(limit)
 
 
+Atom = tuple[str, str, str]
+
+
+def unified(known: DataFrame, atoms: list[Atom], of: tuple[str, str, str] = ("src", "rel", "dst")) -> DataFrame:
+    """A column for each variable of ``atoms`` (relation, first, second): all bindings under which every atom is a fact.
+
+    Atoms are joined in their order on the variables that they share with those before; constants are filters.
+    """
+    out = None
+    src, rel, dst = of
+    for name, first, second in atoms:
+        rows = known.filter(F.col(rel) == name)
+        for column, term in ((src, first), (dst, second)):
+            if not is_variable(term):
+                rows = rows.filter(F.col(column) == term)
+        if first == second:
+            rows = rows.filter(F.col(src) == F.col(dst))
+        rows = rows.select(*{t: F.col(c).alias(t) for c, t in ((src, first), (dst, second)) if is_variable(t)}.values())
+        if out is None:
+            out = rows
+        else:
+            shared = [c for c in rows.columns if c in out.columns]
+            if not shared:
+                raise ValueError("an atom of a body must share a variable with those before it")
+            out = out.join(rows, shared)
+    return out
+
+
+def ground_rule(known: DataFrame, body: list[Atom], head: Atom, limit: int = 1000, seed: int = 42) -> DataFrame:
+    """body, head (arrays of src, rel, dst), body_holds, head_holds: ground rules of a rule, ``limit`` at most.
+
+    Half of them, by hash, have a body that holds; the rest bind variables to nodes drawn by hash, and
+    are kept where the body doesn't hold.
+    """
+    variables = list(dict.fromkeys(t for _, a, b in [*body, head] for t in (a, b) if is_variable(t)))
+    bound = unified(known, body)
+    order = F.xxhash64(*[F.col(c) for c in bound.columns], F.lit(seed))
+    seen = bound.orderBy(order, *bound.columns).limit(limit // 2).withColumn("body_holds", F.lit(True))
+    nodes = written(numbered(known.select(F.explode(F.array("src", "dst")).alias("id")).distinct()))
+    n = nodes.count()
+    draws = known.sparkSession.range(limit - limit // 2)
+    for k, v in enumerate(variables):
+        pick = F.pmod(F.xxhash64("id", F.lit(k), F.lit(seed)), F.lit(max(n, 1)))
+        draws = draws.withColumn("k", pick).join(nodes.select(F.col("id").alias(v), "k"), "k").drop("k")
+    free = draws.drop("id").distinct()
+    free = free.join(bound.distinct(), bound.columns, "left_anti").withColumn("body_holds", F.lit(False))
+    both = seen.unionByName(free, allowMissingColumns=True).na.drop(subset=variables)
+    term = lambda t: F.col(t) if is_variable(t) else F.lit(t)
+    atom = lambda a: F.struct(term(a[1]).alias("src"), F.lit(a[0]).alias("rel"), term(a[2]).alias("dst"))
+    made = both.select(F.array(*[atom(a) for a in body]).alias("body"), atom(head).alias("head"), "body_holds")
+    heads = known.select(F.struct("src", "rel", "dst").alias("head"), F.lit(True).alias("h")).filter(F.col("head.rel") == head[0])
+    return made.join(heads, "head", "left").select("body", "head", "body_holds", F.coalesce("h", F.lit(False)).alias("head_holds"))
+
+
+def sampled(rows: DataFrame, n: int, by: str = "uniform", column: str | None = None, seed: int = 42) -> DataFrame:
+    """``n`` rows by hash: ``uniform``; ``weighted`` by a column of positive weights; ``stratified``, ``n`` of each value of a column."""
+    names = [F.col(f"`{c}`") for c in rows.columns]
+    u = (F.pmod(F.xxhash64(*names, F.lit(seed)), F.lit(1 << 52)) + 1).cast("double") / (1 << 52)
+    if by == "uniform":
+        return rows.withColumn("draw_of_row", u).orderBy("draw_of_row").limit(n).drop("draw_of_row")
+    if by == "weighted":  # the least of exponential waits, each at its row's rate
+        return rows.filter(F.col(column) > 0).withColumn("draw_of_row", -F.ln(u) / F.col(column)).orderBy("draw_of_row").limit(n).drop("draw_of_row")
+    if by == "stratified":
+        place = F.row_number().over(W.partitionBy(column).orderBy("draw_of_row"))  # cut to n a value before it is shuffled
+        return rows.withColumn("draw_of_row", u).withColumn("place_of_row", place).filter(F.col("place_of_row") <= n).drop("draw_of_row", "place_of_row")
+    raise ValueError(f"unknown way to sample {by!r}")
+
+
+def batched(rows: DataFrame, size: int, seed: int = 42) -> DataFrame:
+    """``rows`` with ``batch``: batches of some ``size`` rows, dealt by hash."""
+    batches = max(1, -(-rows.count() // size))
+    return rows.withColumn("batch", F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns], F.lit(seed)), F.lit(batches)))
+
+
 def ground_rule_counts(grounded: DataFrame) -> DataFrame:
     """rule, groundings, satisfied of rows (rule, body_holds, head_holds); a body that fails counts as satisfied."""
     return grounded.groupBy("rule").agg(F.count("*").alias("groundings"), F.sum((~F.col("body_holds") | F.col("head_holds")).cast("int")).alias("satisfied"))
