@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import clamp, sigmoid
 from ..sources.shared import checked_broadcast, cut, written
 from .numbering import coded, numbered, places
 
@@ -179,6 +180,24 @@ def groundings(known: DataFrame, r1: str, r2: str, r3: str, limit: int | None =
     return out if limit is None else out.orderBy(F.xxhash64("x", "y", "z", F.lit(seed)), "x", "y", "z").limit(limit)
 
 
+def with_probabilities(bound: DataFrame, q: DataFrame, r1: str, r2: str, r3: str, default: float = 0.5) -> DataFrame:
+    """``bound`` (x, y, z) of a chain rule with the probabilities of body and head, ``body_q`` and ``head_q``. ``q``: src, rel, dst, q."""
+    of = lambda rel, a, b, name: q.filter(F.col("rel") == rel).select(F.col("src").alias(a), F.col("dst").alias(b), F.col("q").alias(name))
+    out = bound.join(of(r1, "x", "y", "q1"), ["x", "y"], "left").join(of(r2, "y", "z", "q2"), ["y", "z"], "left").join(of(r3, "x", "z", "head_q"), ["x", "z"], "left")
+    return out.na.fill(default, ["q1", "q2", "head_q"]).withColumn("body_q", F.col("q1") * F.col("q2")).drop("q1", "q2")
+
+
+def expected_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """``by`` and how many ground rules (body_q, head_q) are expected to hold, facts being independent."""
+    return rows.groupBy(*by).agg(F.sum(1 - F.col("body_q") * (1 - F.col("head_q"))).alias("expected"))
+
+
+def head_log_odds(rows: DataFrame, weight: float, *head: str) -> DataFrame:
+    """``head`` columns, and a head's probability given the bodies that support it, at most 40 log-odds either way."""
+    odds = F.sum(weight * F.col("body_q"))
+    return rows.groupBy(*head).agg(sigmoid(clamp(odds, -40.0, 40.0)).alias("p"))
+
+
 Atom = tuple[str, str, str]
 
 

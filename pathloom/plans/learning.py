@@ -60,28 +60,51 @@ def _grounded(s, d):
 
 
 plain("ground_rule_counts", "edges", f"WITH {FACT}, {GROUND}, e AS (SELECT 'chain' AS rule, head_holds AS h FROM g UNION ALL SELECT a.rel, b.src IS NOT NULL FROM f a LEFT JOIN f b ON b.src = a.dst AND b.dst = a.src AND b.rel = a.rel WHERE a.rel IN ('neighbors', 'placed')) SELECT rule, count(*) AS groundings, CAST(sum(CASE WHEN h THEN 1 ELSE 0 END) AS BIGINT) AS satisfied FROM e GROUP BY rule", lambda s, d: R.ground_rule_counts(_grounded(s, d)))
-plain("expected_rule_counts", "edges confidences", f"WITH {FACT}, {GROUND} SELECT g.x, round(sum(1 - coalesce(a.raw, 0.5) * coalesce(b.raw, 0.5) * (1 - coalesce(c.raw, 0.5))), 6) AS expected FROM g LEFT JOIN confidences a ON a.src = g.x AND a.rel = 'contains' AND a.dst = g.y LEFT JOIN confidences b ON b.src = g.y AND b.rel = 'supplied_by' AND b.dst = g.z LEFT JOIN confidences c ON c.src = g.x AND c.rel = 'fulfilled_by' AND c.dst = g.z GROUP BY g.x", lambda s, d: _expected(s, d).groupBy("x").agg(F.round(F.sum(1 - F.col("qb") * (1 - F.col("qh"))), 6).alias("expected")))
+plain("expected_rule_counts", "edges confidences", f"WITH {FACT}, {GROUND} SELECT g.x, round(sum(1 - coalesce(a.raw, 0.5) * coalesce(b.raw, 0.5) * (1 - coalesce(c.raw, 0.5))), 6) AS expected FROM g LEFT JOIN confidences a ON a.src = g.x AND a.rel = 'contains' AND a.dst = g.y LEFT JOIN confidences b ON b.src = g.y AND b.rel = 'supplied_by' AND b.dst = g.z LEFT JOIN confidences c ON c.src = g.x AND c.rel = 'fulfilled_by' AND c.dst = g.z GROUP BY g.x", lambda s, d: R.expected_counts(_expected(s, d), "x").withColumn("expected", F.round("expected", 6)))
 
 
 def _expected(s, d):
     """x, y, z with the probabilities of body and head."""
-    g = R.groundings(facts(s, d), "contains", "supplied_by", "fulfilled_by")
     q = D.confidences(facts(s, d)).select("src", "rel", "dst", F.coalesce("raw", F.lit(0.5)).alias("q"))
-    of = lambda rel, a, b, name: q.filter(F.col("rel") == rel).select(F.col("src").alias(a), F.col("dst").alias(b), F.col("q").alias(name))
-    g = g.join(of("contains", "x", "y", "q1"), ["x", "y"], "left").join(of("supplied_by", "y", "z", "q2"), ["y", "z"], "left").join(of("fulfilled_by", "x", "z", "q3"), ["x", "z"], "left")
-    return g.na.fill(0.5, ["q1", "q2", "q3"]).withColumns({"qb": F.col("q1") * F.col("q2"), "qh": F.col("q3")})
+    return R.with_probabilities(R.groundings(facts(s, d), "contains", "supplied_by", "fulfilled_by"), q, "contains", "supplied_by", "fulfilled_by")
 
 
-plain("pseudo_log_odds", "edges confidences", f"WITH {FACT}, {GROUND}, o AS (SELECT g.x, g.z, 1 / (1 + exp(-least(greatest(sum(1.5 * coalesce(a.raw, 0.5) * coalesce(b.raw, 0.5)), -40), 40))) AS p FROM g LEFT JOIN confidences a ON a.src = g.x AND a.rel = 'contains' AND a.dst = g.y LEFT JOIN confidences b ON b.src = g.y AND b.rel = 'supplied_by' AND b.dst = g.z GROUP BY g.x, g.z) SELECT x, count(*) AS heads, round(avg(p), 9) AS mean, round(max(p), 9) AS most FROM o GROUP BY x", lambda s, d: _odds(s, d).groupBy("x").agg(F.count("*").alias("heads"), F.round(F.avg("p"), 9).alias("mean"), F.round(F.max("p"), 9).alias("most")))
+plain("pseudo_log_odds", "edges confidences", f"WITH {FACT}, {GROUND}, o AS (SELECT g.x, g.z, 1 / (1 + exp(-least(greatest(sum(1.5 * coalesce(a.raw, 0.5) * coalesce(b.raw, 0.5)), -40), 40))) AS p FROM g LEFT JOIN confidences a ON a.src = g.x AND a.rel = 'contains' AND a.dst = g.y LEFT JOIN confidences b ON b.src = g.y AND b.rel = 'supplied_by' AND b.dst = g.z GROUP BY g.x, g.z) SELECT x, count(*) AS heads, round(avg(p), 9) AS mean, round(max(p), 9) AS most FROM o GROUP BY x", lambda s, d: R.head_log_odds(_expected(s, d), 1.5, "x", "z").groupBy("x").agg(F.count("*").alias("heads"), F.round(F.avg("p"), 9).alias("mean"), F.round(F.max("p"), 9).alias("most")))
 
 
-def _odds(s, d):
-    return _expected(s, d).groupBy("x", "z").agg(S.sigmoid(S.clamp(F.sum(1.5 * F.col("qb")), -40.0, 40.0)).alias("p"))
+# neighbors(x,y) ⇒ neighbors(y,x), with a weight of 1.5: each pair of nations is a part of its own, of two facts and two groundings
+PAIR = "ln(2 * exp(2 * 1.5) + 2 * exp(1.5))"
 
 
-plain("mln_exact_partition", None, "WITH w AS (SELECT i, (i & 1) AS a, (i >> 1) & 1 AS b, (i >> 2) & 1 AS c FROM range(8) t(i)) SELECT round(ln(sum(exp(1.2 * CASE WHEN a = 1 AND b = 1 AND c = 0 THEN 0 ELSE 1 END + 0.4 * a))), 9) AS log_partition FROM w", lambda s, d: s.createDataFrame([(round(mln.exact_log_partition([1.2, 0.4], [([0, 1], 2), ([], 0)], 3), 9),)], "log_partition double"))
-plain("mln_log_prob", "edges", f"WITH {RULES} SELECT kind, round(sum(ln(1 + confidence) * support) - ln(sum(exp(least(confidence, 1)))), 6) AS log_prob FROM rules GROUP BY kind", lambda s, d: rules(s, d).groupBy("kind").agg(F.round(F.sum(F.log1p("confidence") * F.col("support")) - F.ln(F.sum(F.exp(F.least("confidence", F.lit(1.0))))), 6).alias("log_prob")))
-plain("all_corruptions", "edges", f"WITH {SMALL}, p AS (SELECT * FROM f WHERE rel = 'located_in' AND src LIKE 'Supplier/%'), t AS (SELECT DISTINCT rel, dst AS tail FROM f) SELECT DISTINCT src, rel, tail AS dst FROM p JOIN t USING (rel) WHERE tail <> dst EXCEPT SELECT * FROM f", lambda s, d: R.corruptions(small(s, d), small(s, d).filter("rel = 'located_in' AND src LIKE 'Supplier/%'")))
+def _mutual(s, d):
+    """region, and the ground rules of its pairs over numbered facts: nations are few."""
+    f = facts(s, d)
+    region = f.filter("rel = 'part_of'").select(F.col("src").alias("x"), F.col("dst").alias("region"))
+    bound = R.unified(f, [("neighbors", "x", "y")]).join(region, "x").collect()
+    out: dict[str, tuple[list, list]] = {}
+    for region in sorted({r["region"] for r in bound}):
+        pairs = sorted((r["x"], r["y"]) for r in bound if r["region"] == region)
+        number = {p: k for k, p in enumerate(pairs)}
+        out[region] = pairs, [([number[x, y]], number[y, x]) for x, y in pairs]
+    return out
+
+
+def _partitions(s, d):
+    rows = [(region, round(mln.log_partition([1.5] * len(ground), ground, len(pairs)), 6)) for region, (pairs, ground) in _mutual(s, d).items()]
+    return s.createDataFrame(rows, "region string, log_partition double")
+
+
+def _log_probs(s, d):
+    import numpy as np
+
+    of = lambda pairs, ground: mln.log_probability([1.5], [0] * len(ground), ground, np.ones(len(pairs), bool), mln.log_partition([1.5] * len(ground), ground, len(pairs)))
+    return s.createDataFrame([(region, round(of(*x), 6)) for region, x in _mutual(s, d).items()], "region string, log_prob double")
+
+
+REGIONS = "r AS (SELECT p.dst AS region, count(*) AS n FROM edges n JOIN edges p ON p.rel = 'part_of' AND p.src = n.src WHERE n.rel = 'neighbors' GROUP BY p.dst)"
+plain("mln_exact_partition", "edges", f"WITH {REGIONS} SELECT region, round(n / 2 * {PAIR}, 6) AS log_partition FROM r", _partitions)
+plain("mln_log_prob", "edges", f"WITH {REGIONS} SELECT region, round(n * 1.5 - n / 2 * {PAIR}, 6) AS log_prob FROM r", _log_probs)
+plain("all_corruptions", "edges", f"WITH {SMALL}, p AS (SELECT * FROM f WHERE rel = 'located_in'), t AS (SELECT DISTINCT rel, dst AS tail FROM f) SELECT DISTINCT src, rel, tail AS dst FROM p JOIN t USING (rel) WHERE tail <> dst EXCEPT SELECT * FROM f", lambda s, d: R.corruptions(small(s, d), small(s, d).filter("rel = 'located_in'")))
 plain("negative_samples", None, None, lambda s, d: R.negative_samples(facts(s, d), facts(s, d), 4))
 
 
@@ -89,21 +112,37 @@ plain("negative_samples", None, None, lambda s, d: R.negative_samples(facts(s, d
 
 
 def _scored(s, d):
-    f = small(s, d).filter("rel = 'located_in' AND src LIKE 'Supplier/%'")
+    f = small(s, d).filter("rel = 'located_in'")
     tails = f.select(F.col("dst").alias("tail")).distinct()
     key = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
     pairs = f.select("src", "rel").distinct().join(F.broadcast(tails))  # nations: bounded
     return pairs.withColumn("score", ((key("src") * 7 + key("tail") * 13) % 23).cast("double"))
 
 
-SCORES = f"{SMALL}, p AS (SELECT * FROM f WHERE rel = 'located_in' AND src LIKE 'Supplier/%'), sc AS (SELECT src, rel, tail, ((CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) * 7 + CAST(regexp_extract(tail, '([0-9]+)$', 1) AS BIGINT) * 13) % 23)::DOUBLE AS score FROM (SELECT DISTINCT src, rel FROM p), (SELECT DISTINCT dst AS tail FROM p)), known AS (SELECT * FROM p WHERE CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) % 2 = 0), rk AS (SELECT p.src, p.rel, p.dst, 1 + (SELECT count(*) FROM sc o WHERE o.src = p.src AND o.tail <> p.dst AND o.score > t.score AND NOT EXISTS (SELECT 1 FROM known k WHERE k.src = o.src AND k.rel = o.rel AND k.dst = o.tail)) AS rank FROM p JOIN sc t ON t.src = p.src AND t.tail = p.dst)"
+SCORES = f"{SMALL}, p AS (SELECT * FROM f WHERE rel = 'located_in'), sc AS (SELECT src, rel, tail, ((CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) * 7 + CAST(regexp_extract(tail, '([0-9]+)$', 1) AS BIGINT) * 13) % 23)::DOUBLE AS score FROM (SELECT DISTINCT src, rel FROM p), (SELECT DISTINCT dst AS tail FROM p)), known AS (SELECT * FROM p WHERE CAST(regexp_extract(src, '([0-9]+)$', 1) AS BIGINT) % 2 = 0), rk AS (SELECT p.src, p.rel, p.dst, 1 + (SELECT count(*) FROM sc o WHERE o.src = p.src AND o.tail <> p.dst AND o.score > t.score AND NOT EXISTS (SELECT 1 FROM known k WHERE k.src = o.src AND k.rel = o.rel AND k.dst = o.tail)) AS rank FROM p JOIN sc t ON t.src = p.src AND t.tail = p.dst)"
 
 
 def _ranks(s, d):
-    f = small(s, d).filter("rel = 'located_in' AND src LIKE 'Supplier/%'")
+    f = small(s, d).filter("rel = 'located_in'")
     return V.filtered_ranks(_scored(s, d), f, f.filter(F.regexp_extract("src", "([0-9]+)$", 1).cast("long") % 2 == 0))
 
 
+HEADS = "h AS (SELECT src AS head, rel, tail AS dst, score FROM sc), hk AS (SELECT p.src, p.rel, p.dst, 1 + (SELECT count(*) FROM h o WHERE o.dst = p.dst AND o.head <> p.src AND o.score > t.score AND NOT EXISTS (SELECT 1 FROM known k WHERE k.src = o.head AND k.rel = o.rel AND k.dst = o.dst)) AS rank FROM p JOIN h t ON t.head = p.src AND t.dst = p.dst)"
+
+
+def _head_ranks(s, d):
+    f = small(s, d).filter("rel = 'located_in'")
+    heads = _scored(s, d).select(F.col("src").alias("head"), "rel", F.col("tail").alias("dst"), "score")
+    return V.filtered_head_ranks(heads, f, f.filter(F.regexp_extract("src", "([0-9]+)$", 1).cast("long") % 2 == 0))
+
+
+plain("filtered_head_rank", "edges", f"WITH {SCORES}, {HEADS} SELECT * FROM hk", _head_ranks)
+METRICS = "round(avg(1.0 / rank), 9) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 9) AS hits_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 9) AS hits_3, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 9) AS hits_10, round(avg(rank), 9) AS mean_rank, median(rank) AS median_rank"
+plain(
+    "ablation_metrics", "edges",
+    f"WITH {SCORES}, {HEADS} SELECT 'both' AS variant, {METRICS} FROM (SELECT rank FROM rk UNION ALL SELECT rank FROM hk) UNION ALL SELECT 'heads', {METRICS} FROM hk UNION ALL SELECT 'tails', {METRICS} FROM rk",
+    lambda s, d: r9(V.ablation({"both": _ranks(s, d).unionByName(_head_ranks(s, d)), "heads": _head_ranks(s, d), "tails": _ranks(s, d)}), "mrr", "hits_1", "hits_3", "hits_10", "mean_rank"),
+)
 plain("candidate_cross", "edges", f"WITH {SCORES} SELECT src, rel, tail, score FROM sc", _scored)
 plain("filtered_rank", "edges", f"WITH {SCORES} SELECT * FROM rk", _ranks)
 plain("ranking_metrics", "edges", f"WITH {SCORES} SELECT round(avg(1.0 / rank), 9) AS mrr, round(avg(CASE WHEN rank <= 1 THEN 1 ELSE 0 END), 9) AS hits_1, round(avg(CASE WHEN rank <= 3 THEN 1 ELSE 0 END), 9) AS hits_3, round(avg(CASE WHEN rank <= 10 THEN 1 ELSE 0 END), 9) AS hits_10, round(avg(rank), 9) AS mean_rank, median(rank) AS median_rank FROM rk", lambda s, d: r9(V.ranking_metrics(_ranks(s, d)), "mrr", "hits_1", "hits_3", "hits_10", "mean_rank"))
@@ -173,18 +212,21 @@ plain(
     lambda s, d: r9(mln.isotonic(_probabilities(s, d)), "calibrated"),
 )
 plain("score_edge", None, None, lambda s, d: _score_edge(s, d))
-plain("stratified_sample", None, None, lambda s, d: _stratified(facts(s, d), 20))
+plain("stratified_sample", None, None, lambda s, d: R.sampled(facts(s, d), 20, "stratified", "rel"))
+plain("uniform_sample", None, None, lambda s, d: R.sampled(facts(s, d), 500))
+plain("weighted_sample", None, None, lambda s, d: R.sampled(D.edges(s, d).select("edge_id", "src", "rel", "dst", "weight"), 500, "weighted", "weight"))
+plain("ground_rules", None, None, lambda s, d: R.ground_rule(facts(s, d), *R.parse_rule("contains(x,y) ∧ supplied_by(y,z) ⇒ fulfilled_by(x,z)"), 1000))
 
 
-def _stratified(known, n, seed=42):
-    """So many facts of each relation, chosen by hash."""
-    place = F.row_number().over(W.partitionBy("rel").orderBy(F.xxhash64("src", "dst", F.lit(seed)), "src", "dst"))
-    return known.withColumn("place", place).filter(F.col("place") <= n).drop("place")
+#: Facts that the query's scorer is fitted on, chosen by hash; all facts are scored.
+FITTED = 20_000
 
 
 def _score_edge(s, d):
+    from dataclasses import replace
+
     from ..config import get_profile
     from ..model.scorer import train
 
-    f = small(s, d).filter("rel IN ('located_in', 'part_of', 'neighbors') AND src NOT LIKE 'Customer/%'")
-    return train(f, get_profile("small")).score(f)
+    f = facts(s, d)
+    return train(f, replace(get_profile("small"), epochs=8, batch_size=1024), most=FITTED).score(f)

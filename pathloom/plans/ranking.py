@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..config import BeamParams
 from ..functions import scalars as S
 from ..operators import aggregates as A
+from ..operators import graph as G
 from ..operators import linking, paths, ranking, scoring
 
 from ..sources import derived as D
@@ -260,7 +261,9 @@ def _priors(s, d):
 PRIOR = "priors AS (SELECT rel AS relation, round(count(*) / sum(count(*)) OVER (), 6) AS prior FROM edges GROUP BY rel)"
 plain("surprise_priors", AGG, f"WITH {EDGES}, {SHARE}, {PRIOR} SELECT relation, round(abs(share - coalesce(prior, 0)), 4) AS surprise FROM shares LEFT JOIN priors USING (relation)", lambda s, d: A.surprise(A.relation_shares(edge_rows(s, d)), _priors(s, d)))
 SUMMARY = f"{EDGES}, {MOTIF}, {SHARE}, {COVER}, {DENSITY}, {PRIOR}, lead AS (SELECT relation, share FROM shares ORDER BY share DESC, relation LIMIT 1), one AS (SELECT edges, round(p, 4) AS p, round(l, 4) AS l, round(r, 4) AS r, round(m, 4) AS m, relation, share FROM cover, density, lead)"
-plain("aggregate_summary", AGG, f"WITH {SUMMARY} SELECT edges, edges AS kept_edges, p AS provenance_coverage, l AS label_coverage, r AS recency, m AS motif_density, relation AS dominant_relation, share AS dominant_share FROM one", lambda s, d: A.summary(edge_rows(s, d), NOW))
+_NAMES = lambda names: ", ".join(f"'{n}'" for n in names)
+KEPT = f"relation <> '' AND lower(trim(relation)) NOT IN ({_NAMES(G.BANNED)}) AND NOT (lower(trim(relation)) IN ({_NAMES(G.CONDITIONAL)}) AND (coalesce(lower(src_label) IN ({_NAMES(G.SCHEMA_LABELS)}), FALSE) OR coalesce(lower(dst_label) IN ({_NAMES(G.SCHEMA_LABELS)}), FALSE)))"
+plain("aggregate_summary", AGG, f"WITH {SUMMARY} SELECT edges, (SELECT count(*) FROM rows WHERE {KEPT}) AS kept_edges, p AS provenance_coverage, l AS label_coverage, r AS recency, m AS motif_density, relation AS dominant_relation, share AS dominant_share FROM one", lambda s, d: A.summary(edge_rows(s, d), NOW))
 plain(
     "triage", AGG,
     f"""WITH {SUMMARY}, u AS (SELECT *, round(abs(share - coalesce(prior, 0)), 4) AS su FROM one LEFT JOIN priors USING (relation)),
@@ -286,15 +289,20 @@ plain(
 )
 plain("half_life", None, "SELECT c_custkey, least(greatest(1.5 * (c_custkey % 60), 14.0), 60.0)::DOUBLE AS half_life FROM customer", lambda s, d: D.read(s, d, "customer").select("c_custkey", S.half_life_of_window(F.lit("1998-01-01").cast("timestamp"), F.timestamp_seconds(F.unix_seconds(F.lit("1998-01-01").cast("timestamp")) + (F.col("c_custkey") % 60) * 86400)).alias("half_life")))
 plain(
-    "insight_decomposition", SIGNALS,
-    f"WITH {SCORED} SELECT round(0.8, 9) AS mean_strength, round(avg(path_score), 9) AS mean_rank, 'High' AS label, TRUE AS passes FROM scored",
+    "insight_decomposition", f"{SIGNALS} confidences",
+    f"""WITH {SCORED}, c AS (SELECT pe.path_id, least(greatest(coalesce(raw, 0.5), 1e-6), 1.0) AS c, coalesce(raw, 0.5) AS given FROM pe JOIN (SELECT DISTINCT edge_id, src, rel, dst FROM edges) e USING (edge_id, src, dst) LEFT JOIN confidences f ON f.src = e.src AND f.rel = e.rel AND f.dst = e.dst),
+        g AS (SELECT path_id, exp(avg(ln(c))) AS strength, avg(given) AS confidence FROM c GROUP BY path_id), one AS (SELECT avg(strength) AS m, avg(path_score) AS r, avg(confidence) AS c FROM g JOIN scored USING (path_id))
+        SELECT round(m, 9) AS mean_strength, round(r, 9) AS mean_rank, round(c, 9) AS mean_confidence, CASE WHEN m >= 0.7 THEN 'High' WHEN m >= 0.4 THEN 'Medium' ELSE 'Low' END AS label, m >= 0.4 AS passes FROM one""",
     lambda s, d: _decomposed(s, d),
 )
 
 
 def _decomposed(s, d):
+    """With the confidence of each edge as the derived table gives it."""
     p = scored(s, d)
-    return A.insight_decomposition(paths.path_edges(p), p).select(F.round("mean_strength", 9).alias("mean_strength"), F.round("mean_rank", 9).alias("mean_rank"), "label", "passes")
+    own = D.confidences(D.edges(s, d).select("src", "rel", "dst").distinct()).select("src", "rel", "dst", F.coalesce("raw", F.lit(0.5)).alias("confidence"))
+    e = paths.path_edges(p).drop("confidence").join(own, ["src", "rel", "dst"])
+    return rounded(A.insight_decomposition(e, p), "mean_strength", "mean_rank", "mean_confidence").select("mean_strength", "mean_rank", "mean_confidence", "label", "passes")
 
 
 # -- linking
@@ -303,10 +311,10 @@ def _decomposed(s, d):
 def _mentions(s, d):
     c = D.read(s, d, "customer")
     near = F.array(*[F.struct(F.concat(F.lit("Customer/"), F.pmod(F.col("c_custkey") + k, F.lit(100)).cast("string")).alias("entity"), (0.9 - 0.1 * k - 0.001 * (F.col("c_custkey") % 50)).alias("score")) for k in range(3)])
-    return c.filter("c_custkey < 100").select(F.col("c_custkey").alias("mention_id"), F.col("c_name").alias("surface"), near.alias("candidates"))
+    return c.select(F.col("c_custkey").alias("mention_id"), F.col("c_name").alias("surface"), near.alias("candidates"))
 
 
-LINK = """m AS (SELECT c_custkey AS mention_id, unnest([0, 1, 2]) AS k FROM customer WHERE c_custkey < 100),
+LINK = """m AS (SELECT c_custkey AS mention_id, unnest([0, 1, 2]) AS k FROM customer),
  c AS (SELECT mention_id, 'Customer/' || ((mention_id + k) % 100) AS entity, 0.9 - 0.1 * k - 0.001 * (mention_id % 50) AS given FROM m),
  s AS (SELECT mention_id, entity, 0.6 * given + 0.3 * coalesce(score, 0) AS score FROM c LEFT JOIN ppr ON id = entity),
  b AS (SELECT mention_id, entity, round(score, 9) AS score, row_number() OVER (PARTITION BY mention_id ORDER BY score DESC, entity) AS k FROM s), linked AS (SELECT * FROM b WHERE k = 1)"""
