@@ -7,12 +7,16 @@ with ANDs and XORs over bitmaps. The top k rows are then found from the most sig
 downward, and rows that are equal in all slices are resolved by smaller vec_id.
 
 Rows and queries are dealt to cells of a grid, so a task holds ``ROWS`` rows and ``QUERIES`` queries
-however large the table is, and each cell gives k rows a query for the final ranking.
+however large the table is, and each cell gives k rows a query for the final ranking. Every query must
+meet every row, so the work is their product; what is sent is each row once for ``QUERIES`` queries and
+each query once for ``ROWS`` rows. Tables that fill few cells are cut finer, to have ``CELLS`` of them.
 
 Edge cases: a vector that is null, or holds a null or non-finite component, takes no part; nor does a
 null vec_id. Components that a shorter vector lacks count as 0. Rows with the query's vec_id are its
 own; other repeated rows are candidates each. A query id that repeats asks once, with its smallest
-vector. Fewer candidates than k give fewer rows; empty tables give empty results.
+vector. Fewer candidates than k give fewer rows; empty tables give empty results; further columns, of
+any names, are ignored. Ties go to the smaller vec_id. Scores are whole numbers of 64 bits: a pair that
+might pass 2^62 raises an OverflowError, as no score would be right.
 """
 
 from __future__ import annotations
@@ -26,7 +30,9 @@ from pyspark.sql import functions as F
 from .common import table
 
 SCALE, K, EVERY = 256, 5, 50
-ROWS, QUERIES, AT_ONCE = 8192, 1024, 128
+ROWS, QUERIES, CELLS = 131_072, 32_768, 64
+#: Bits of a slice that are scored at once: queries times rows.
+AT_ONCE = 1 << 20
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -112,6 +118,8 @@ def search_block(ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, quer
     """(query_id, vec_id, score) of the k best rows for each query."""
     order = np.argsort(ids, kind="stable")
     ids, codes = ids[order], codes[order]
+    if float(np.abs(codes).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(1, codes.shape[1]) >= 1 << 60:
+        raise OverflowError("scores of these vectors may not fit into 64 bits")
     # shift both sides to be non-negative; what the shift of a query adds differs by row: an attribute
     low, q_low = min(0, int(codes.min(initial=0))), min(0, int(queries.min(initial=0)))
     shifted = codes - low
@@ -122,8 +130,9 @@ def search_block(ids: np.ndarray, codes: np.ndarray, query_ids: np.ndarray, quer
     same = -q_low * most
     constant = low * (queries - q_low).sum(axis=1) + q_low * low * codes.shape[1] - same
     out = []
-    for at in range(0, len(queries), AT_ONCE):
-        part = slice(at, at + AT_ONCE)
+    step = max(1, AT_ONCE // (64 * index.words))
+    for at in range(0, len(queries), step):
+        part = slice(at, at + step)
         slices = index.scores(weights[part])
         among = np.repeat(index.rows[None, :], len(query_ids[part]), axis=0)
         for row, q in zip(among, query_ids[part], strict=True):
@@ -155,7 +164,8 @@ def _upto(n: int):
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, scale: int = SCALE, rows: int = ROWS) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows of ``vectors`` for each of ``queries`` (vec_id, embedding)."""
     base, asked = quantised(vectors, scale), quantised(queries, scale).groupBy("vec_id").agg(F.min("codes").alias("codes"))
-    down, across = max(1, -(-vectors.count() // rows)), max(1, -(-queries.count() // QUERIES))
+    n, across = vectors.count(), max(1, -(-queries.count() // QUERIES))
+    down = max(1, -(-n // rows), min(CELLS // across, n // 1024))
     # by place, not by id, so repeated ids don't gather in one cell
     base = base.withColumn("r", F.monotonically_increasing_id() % down).withColumn("s", F.explode(_upto(across)))
     asked = asked.withColumn("s", F.pmod(F.xxhash64("vec_id"), F.lit(across)).cast("long")).withColumn("r", F.explode(_upto(down)))

@@ -224,6 +224,13 @@ def test_top_k_against_brute_force(spark, tmp_path, size):
     assert topk.search(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_top_k_of_scores_beyond_64_bits(spark):
+    rows = [(k, [1e15, float(k)]) for k in range(60)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.search(v, v.filter(F.col("vec_id") == 0)).collect()
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     rows = [r for r in corpus(seed=4) if r[0] is not None] + [(5000, "secret = 'abcdefgh' " + " ".join(f"u{k}" for k in range(90)), "en", "s1", 0), (5001, "w$$$ " * 100, "en", "s1", 0)]
     docs, seen = frame(spark, rows, folder=tmp_path / "d"), {}
