@@ -281,21 +281,48 @@ def intervals(prefixes: list[int]) -> Iterator[tuple[int, int, int]]:
             stack.append((p, first))
 
 
+class LeastOf:
+    """The least of values between two places, by a table of the least of each power of two in a row."""
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+        while len(self.levels[-1]) > (step := 1 << (len(self.levels) - 1)):
+            self.levels.append(np.minimum(self.levels[-1][:-step], self.levels[-1][step:]))
+
+    def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the values from each ``a`` up to, but not with, ``b``, which is larger."""
+        level = np.frexp((b - a).astype(float))[1] - 1
+        out = np.empty(len(a), np.int64)
+        for k in np.unique(level).tolist():
+            at = np.flatnonzero(level == k)
+            out[at] = np.minimum(self.levels[k][a[at]], self.levels[k][b[at] - (1 << k)])
+        return out
+
+
 def maximal_repeats(texts: list[tuple[bytes, int]], length: int) -> list[list[tuple[int, int]]]:
-    """For distinct (text, place of the anchor in it): (left, right) extents that others share, together ``length`` at least."""
+    """For distinct (text, place of the anchor in it): (left, right) extents that others share, together ``length`` at least.
+
+    What stands to the left is sorted once, with the prefixes that neighbours share; an interval's members
+    are taken in that order, and what two of them share is the least of the prefixes between.
+    """
     order = sorted(range(len(texts)), key=lambda k: texts[k][0][texts[k][1] :])
     right = [texts[k][0][texts[k][1] :] for k in order]
     left = [texts[k][0][: texts[k][1]][::-1] for k in order]
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    reach = [-1] * len(texts)  # how far to the left it is already known to be repeated, with a longer prefix
+    by_left = np.array(sorted(range(len(texts)), key=left.__getitem__), np.int64)
+    rank = np.empty(len(texts), np.int64)
+    rank[by_left] = np.arange(len(texts))
+    shared = LeastOf(np.array([common(left[a], left[b]) for a, b in zip(by_left, by_left[1:], strict=False)], np.int64))
+    reach = np.full(len(texts), -1)  # by left rank: how far to the left it is already known to be repeated, with a longer prefix
     for prefix, first, last in intervals([common(a, b) for a, b in zip(right, right[1:], strict=False)]):
-        inside = sorted(range(first, last + 1), key=left.__getitem__)
-        near = [common(left[a], left[b]) for a, b in zip(inside, inside[1:], strict=False)]
-        for k, extent in zip(inside, map(max, [0, *near], [*near, 0]), strict=True):
-            # to the left nothing new unless the extension differs from that of the intervals inside
-            if extent > reach[k] and extent + prefix >= length:
-                reach[k] = extent
-                out[order[k]].append((extent, prefix))
+        inside = np.sort(rank[first : last + 1])
+        near = shared.between(inside[:-1], inside[1:])
+        extent = np.maximum(np.append(0, near), np.append(near, 0))
+        # to the left nothing new unless the extension differs from that of the intervals inside
+        new = np.flatnonzero((extent > reach[inside]) & (extent + prefix >= length))
+        reach[inside[new]] = extent[new]
+        for k, e in zip(by_left[inside[new]].tolist(), extent[new].tolist(), strict=True):
+            out[order[k]].append((e, prefix))
     return out
 
 

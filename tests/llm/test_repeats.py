@@ -80,6 +80,22 @@ def test_intervals_are_those_of_the_tree():
     assert set(suffix.intervals(prefixes)) == want
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_maximal_repeats_against_all_pairs(seed):
+    """Contexts of one anchor; each learns the extents that it shares with another, but for those that lie in others."""
+    import os.path
+    import random
+
+    rng, length = random.Random(seed), 9
+    texts = list({("".join(rng.choice("ab") for _ in range(rng.randint(0, 7))) + "XYZ" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))), None) for _ in range(70)})
+    texts = [(t.encode(), t.index("XYZ")) for t, _ in texts]
+    lcp = lambda a, b: len(os.path.commonprefix([a, b]))
+    cover = lambda pairs: {(a, b) for e, p in pairs for a in range(e + 1) for b in range(p + 1) if a + b >= length}
+    for (t, at), got in zip(texts, suffix.maximal_repeats(texts, length), strict=True):
+        want = [(lcp(t[:at][::-1], u[:k][::-1]), lcp(t[at:], u[k:])) for u, k in texts if (u, k) != (t, at)]
+        assert cover(got) == cover([(e, p) for e, p in want if e + p >= length])
+
+
 @pytest.mark.parametrize(("window", "rows_of_chunk"), [(13, 128), (13, 3), (5, 10)])
 def test_words_against_brute_force(spark, tmp_path, monkeypatch, window, rows_of_chunk):
     rows = corpus(seed=window)
