@@ -248,3 +248,20 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert hidden[5000].startswith("[SECRET]") and set(hidden) == set(ids("near_dedup"))
     assert all(hidden[k] == by_id[k] for k in hidden if k != 5000)
     assert set(ids("packing")) == set(ids("mixing")) <= set(hidden)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Null ids, texts and sources, repeated rows, a long text, columns of clashing names; and no rows."""
+    text = lambda k, n=90: " ".join(f"w{(k * 31 + j * 7) % 997}x{'y' * (j % 5)}" for j in range(n))
+    rows = [(k, text(k), "en", f"s{k % 3}/r", 0) for k in range(40)] + [(None, text(100), None, None, None), (None, None, None, None, None), (3, text(3), "en", "s0/r", 0), (3, text(3), "en", "s0/r", 0), (50, " ".join(f"v{j}zz{j % 7}" for j in range(60_000)), "en", "s1/r", 0)]
+    for name, some in (("odd", rows), ("none", [])):
+        odd = ", ".join(["cast(1 as int) AS place", "'a' AS quality", "2.5D AS kept", "'h' AS hash", "3L AS node", "'r' AS kept_row", "'c' AS counted"])
+        spark.createDataFrame(some, DOCS).selectExpr("*", *odd.split(", ")).write.parquet(str(tmp_path / name / "documents.parquet"))
+        got = corpus_pipeline.run(spark, str(tmp_path / name)).toPandas()
+        if not some:
+            assert not len(got)
+            continue
+        ids = got["doc_id"].dropna().astype(int)
+        assert got["doc_id"].isna().any() and 50 in set(ids) and len(set(ids)) > 30
+        for _, own in got.groupby("row"):
+            assert own["length"].sum() == own["doc_tokens"].iloc[0]
