@@ -1,7 +1,7 @@
 """The corpus pipeline over ``documents``: each stage is one operator, written and read again before the next.
 
 quality      documents that the quality rules reject go
-near_dedup   one document of each group of near copies (five-word shingles, Jaccard 0.8 or more) stays
+near_dedup   one document of each group of near copies (SimHash, then five-word shingles, Jaccard 0.8 or more) stays
 secrets      secrets in texts are replaced by a mark, and n_chars is counted anew
 mixing       documents are repeated or left out, so that sources meet their targets
 packing      texts are packed into sequences: the rows of packing.PIECES

@@ -1,4 +1,8 @@
-"""Near-dedup by word shingles: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+"""SimHash near-dedup with an exact check: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more are linked.
+
+Candidates are made as in ``simhash``: fingerprints, pigeonhole blocks, Hamming check. They are
+checked by the sets. Three bits miss many such pairs, and so many bits that none is missed leave no
+blocks to deal by; so an exact join finds the pairs that the fingerprints miss.
 
 All such pairs are found, not most of them. In any one order of all shingles, two sets that are so
 similar share one of the first ``n - ceil(0.8 n) + 1`` of either, so texts are compared where they
@@ -6,8 +10,8 @@ share one of those (prefix filter). The order puts shingles last that a sample o
 common, so a common passage makes no large groups; how good the sample is changes costs, not results.
 Pairs whose sizes or parity bitmaps rule 0.8 out are left out, the others are checked by their sets.
 
-Equal sets are one node. A group's pairs are made in two rounds: neighbours by size and by node, and
-only then all pairs of texts that aren't linked yet, so a large group of copies isn't squared.
+Equal sets are one node. A group's pairs are made in two rounds: neighbours by size and by node, checked
+with the pairs of near fingerprints, and only then all pairs of texts that aren't linked yet, so a large group of copies isn't squared.
 
 Edge cases are those of ``simhash``: ASCII case and white space don't count; a text of fewer words
 than a shingle is one shingle; null texts and texts without words are alike; the row that stays of a
@@ -24,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import checked_broadcast, cut, fresh, shuffle_width, small_batches
-from .simhash import _LOWER, _SPACES, SEED, components
+from .simhash import _LOWER, _SPACES, NEAR, SEED, components
 
 SHINGLE, SIMILAR = 5, 0.8
 #: Neighbours on each side that a row of a group is compared with before the last round.
@@ -96,9 +101,9 @@ def common(docs: DataFrame, shingle: int = SHINGLE) -> np.ndarray:
 
 
 def marks(docs: DataFrame, *keep: str, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with node (one for equal sets), n, bits, wide and keys.
+    """The columns ``keep`` of ``docs`` with node (one for equal sets), n, fp, bits, wide and keys.
 
-    Bits and wide are the parities of the set's cells, of 256 cells and of twice as many as the set has. The keys are the shingles by which a set meets all that are similar to it.
+    Fp is the text's fingerprint. Bits and wide are the parities of the set's cells, of 256 cells and of twice as many as the set has. The keys are the shingles by which a set meets all that are similar to it.
     """
     hot = common(docs, shingle)
     order = np.argsort(hot)
@@ -119,9 +124,10 @@ def marks(docs: DataFrame, *keep: str, similar: float = SIMILAR, shingle: int =
         node = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         wide = [parities(s) for s in sets]
         bits = [folded(w, 8 * _WORDS).tobytes() for w in wide]
-        return [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), pa.array(bits, pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary()), _lists([prefix(s) for s in sets])]
+        fps = pa.array([simhash.fingerprint(t) for t in texts], pa.int64())
+        return [pa.array(node), pa.array([len(s) for s in sets], pa.int32()), fps, pa.array(bits, pa.binary()), pa.array([w.tobytes() for w in wide], pa.binary()), _lists([prefix(s) for s in sets])]
 
-    return _columns(docs, "node long, n int, bits binary, wide binary, keys array<long>", made, *keep)
+    return _columns(docs, "node long, n int, fp long, bits binary, wide binary, keys array<long>", made, *keep)
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,36 +240,51 @@ def _verified(pairs: DataFrame, about: DataFrame, docs: DataFrame, similar: floa
     return same.filter(F.col("k") >= similar * (F.col("n") - F.col("k")) - 1e-9).select("a", "b")
 
 
-def roots(docs: DataFrame, marked: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+def near_pairs(marked: DataFrame, near: int = NEAR) -> DataFrame:
+    """(a, b): nodes of ``marked`` whose fingerprints are near, as many pairs as connect what is connected within a block."""
+    of = cut(marked.select("fp", "node").distinct())
+    first = cut(of.groupBy("fp").agg(F.min("node").alias("first")))
+    end = lambda name: first.select(F.col("fp").alias(name), F.col("first").alias(f"first_{name}"))
+    across = cut(simhash.near_edges(first.select("fp"), near)).join(end("a"), "a").join(end("b"), "b").select("first_a", "first_b")
+    both = of.join(first, "fp").select("first", "node").union(across).toDF("a", "b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b")
+
+
+def roots(docs: DataFrame, marked: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """(node, root) of each node of ``marked`` that is linked to another; a component has one root. Both have ``at``, the row's place."""
     width = shuffle_width(marked.sparkSession)
     keys = marked.select(F.explode("keys").alias("key"), "node").repartition(width, "key").sortWithinPartitions("key", "node")
     about = marked.groupBy("node").agg(F.min(F.struct("at", "n", "bits", "wide")).alias("of")).select("node", "of.*")
     shared = cut(keys.mapInArrow(_shared, "key long, node long"))
     about = cut(about.join(checked_broadcast(shared.select("node").distinct()), "node", "left_semi"))
-    edges, linked = None, about.select("node", F.col("node").alias("root")).limit(0)
-    for whole in (False, True):
+
+    def in_groups(whole: bool) -> DataFrame:
         of = about if edges is None else about.join(linked, "node", "left")
         of = cut(of.select("node", "n", (F.col("node") if edges is None else F.coalesce("root", "node")).alias("root"), "bits"))
         dealt = shared.join(checked_broadcast(of), "node").select("key", "node", "n", "root", "bits").repartition(width, "key").sortWithinPartitions("key", "node")
-        pairs = cut(dealt.mapInArrow(_candidates(similar, whole), "a long, b long").distinct())
+        found = dealt.mapInArrow(_candidates(similar, whole), "a long, b long")
+        return cut(found.distinct()) if whole else found
+
+    edges, linked = None, about.select("node", F.col("node").alias("root")).limit(0)
+    for whole in (False, True):
+        pairs = in_groups(whole) if whole else cut(near_pairs(marked, near).union(in_groups(whole)).distinct())
         if pairs.isEmpty():
             continue
         new = cut(_verified(pairs, about, docs, similar, shingle))
-        if edges is not None and new.isEmpty():
-            break
+        if new.isEmpty():
+            continue
         edges = new if edges is None else edges.unionByName(new)
         linked = cut(components(edges))
     return linked
 
 
-def drop_similar(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE) -> DataFrame:
+def drop_similar(docs: DataFrame, similar: float = SIMILAR, shingle: int = SHINGLE, near: int = NEAR) -> DataFrame:
     """``docs`` with one row of each component: that of the smallest doc_id, and of equal ones the first."""
     (place,) = fresh(docs, "place")
     placed = docs.withColumn(place, F.monotonically_increasing_id())
     rows = placed.select(F.col(place).alias("at"), F.col("doc_id").alias("id"), "text")
     marked = cut(marks(rows, "at", "id", similar=similar, shingle=shingle))
-    first = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")).join(roots(rows, marked, similar, shingle), "node", "left")
+    first = marked.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "at")).alias("first")).join(roots(rows, marked, similar, shingle, near), "node", "left")
     kept = cut(first.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("first").alias("first")).select(F.col("first.at").alias(place)))
     return only(placed, place, kept).select(*[F.col(f"`{c}`") for c in docs.columns])
 
